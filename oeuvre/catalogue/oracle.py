@@ -393,7 +393,7 @@ SUMS = "round(sum_frac_oa, 4) AS sum_frac_oa, round(prop_oa, 6) AS prop_oa, roun
 PAIRED = f"""is_oa, {SUMS}, country_name, round(AUTOMOBILE, 6) AS AUTOMOBILE, round(BUILDING, 6) AS BUILDING,
     short_name, region, income_group"""
 ECONOMY = """JOIN wide w ON country = w.country_code LEFT JOIN proper c ON country = c.country_code
-WHERE AUTOMOBILE IS NOT NULL AND BUILDING IS NOT NULL AND is_oa AND sum_frac_total >= 10"""
+WHERE AUTOMOBILE IS NOT NULL AND BUILDING IS NOT NULL AND is_oa AND round(sum_frac_total, 6) >= 10"""
 QUERIES["oa_country"] = f"SELECT country, is_oa, {SUMS} FROM open_country"
 QUERIES["oa_country_label"] = f"SELECT country, SDG_label, is_oa, {SUMS} FROM open_country_label"
 QUERIES["indicator_means"] = """
@@ -403,7 +403,7 @@ QUERIES["oa_indicator_label"] = f"SELECT country, SDG_label, {PAIRED} FROM open_
 QUERIES["oa_prestige_corr"] = """
 SELECT year, SDG_label, round(regr_sxy(y, x) / nullif(sqrt(regr_sxx(y, x) * regr_syy(y, x)), 0), 6) AS cor
 FROM (SELECT year, SDG_label, n_frac_oa_papers / n_frac_papers AS x, P_top10 AS y FROM matched
-    WHERE n_frac_papers > 20 AND P_top10 IS NOT NULL) AS rows GROUP BY ALL"""
+    WHERE round(n_frac_papers, 6) > 20 AND P_top10 IS NOT NULL) AS rows GROUP BY ALL"""
 
 QUERIES["country_coverage"] = "SELECT round(count(country) / count(*)::DOUBLE, 6) AS country_share FROM seen"
 QUERIES["gap_coverage"] = """

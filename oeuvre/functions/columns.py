@@ -75,6 +75,12 @@ def total(c: str | Column) -> Column:
     return F.coalesce(F.sum(column(c)), F.lit(0.0))
 
 
+def settled(c: str | Column) -> Column:
+    """A sum of weights without the last digits, which depend on the order of adding.
+    For comparing such a sum with a limit."""
+    return F.round(column(c), 6)
+
+
 def strict_mean(c: str | Column) -> Column:
     """A mean that is null as soon as one value is null."""
     return F.when(F.count("*") == F.count(column(c)), F.avg(column(c)))

@@ -33,9 +33,11 @@ def oa_provider_class(open_access: DataFrame) -> DataFrame:
     return located.select(*OA_COLUMNS).unionByName(closed)
 
 
-def with_open_access(papers: DataFrame, open_access: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_open_access(
+    papers: DataFrame, open_access: DataFrame, hot_rows: int = HOT_ROWS, count: DataFrame | None = None
+) -> DataFrame:
     """Papers with their open-access variants; equal variants count once."""
-    return lookup_join(papers, oa_provider_class(open_access).distinct(), "doi", hot_rows, count=papers)
+    return lookup_join(papers, oa_provider_class(open_access).distinct(), "doi", hot_rows, count)
 
 
 def with_funding(
@@ -86,6 +88,6 @@ def collated_papers(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Papers with every enrichment; one row for each open-access variant."""
-    rows = with_open_access(papers.distinct(), open_access, hot_rows)
+    rows = with_open_access(papers.distinct(), open_access, hot_rows, count=papers)
     rows = with_funding(rows, funders, hot_rows, count=papers)
     return normalised_citations(rows, journals, conferences, hot_rows, count=papers)

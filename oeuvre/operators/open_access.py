@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oeuvre.functions.columns import correlation, ratio
+from oeuvre.functions.columns import correlation, ratio, settled
 from oeuvre.operators.authorship import AFFILIATION, PAPER, SEQUENCE, by_country, with_last_place
 from oeuvre.operators.relations import complete, left_join
 from oeuvre.operators.shares import count_by, share_of_total
@@ -71,7 +71,7 @@ def pair_indicator(
     means = indicator_means(indicators, years, codes)
     wide = means.groupBy("country_code", "country_name").pivot("indicator_code", list(codes)).agg(F.first("value"))
     paired = complete(shares.join(wide.withColumnRenamed("country_code", "country"), "country"))
-    paired = paired.filter(F.col("is_oa") & (F.col("sum_frac_total") >= least))
+    paired = paired.filter(F.col("is_oa") & (settled("sum_frac_total") >= least))
     return left_join(paired, countries, {"country": "country_code"}, "match") if countries is not None else paired
 
 
@@ -84,5 +84,5 @@ def proper_countries(countries: DataFrame) -> DataFrame:
 def open_prestige_correlation(matched: DataFrame, least: float = 50.0, label: str = "SDG_label") -> DataFrame:
     """Correlation of open share and prestige over institutions, by year and label."""
     share = ratio("n_frac_oa_papers", "n_frac_papers")
-    ranked = matched.filter((F.col("n_frac_papers") > least) & F.col("P_top10").isNotNull())
+    ranked = matched.filter((settled("n_frac_papers") > least) & F.col("P_top10").isNotNull())
     return ranked.withColumn("oa_share", share).groupBy("year", label).agg(correlation("oa_share", "P_top10").alias("cor"))
