@@ -14,6 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from oeuvre.sources.files import parquet
 
+# Stated, so that opening a table reads no file footers.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,
+        l_shipdate timestamp_ntz""",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 LABEL = """CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'SDG_2'
     WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'SDG_3'
     WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'SDG_13' END"""
@@ -26,9 +41,12 @@ GENDER = "CASE p_size % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' ELSE 'unknown'
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._read: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return parquet(self.spark, f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = parquet(self.spark, f"{self.folder}/{name}.parquet", schema=SCHEMAS[name])
+        return self._read[name]
 
     @cached_property
     def papers(self) -> DataFrame:

@@ -65,7 +65,9 @@ def exact_quantiles(
     wanted = wanted.withColumn("_before", before).withColumn("_ranks", ranks)
     inside = F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_copies")))
     wanted = wanted.select(*ids, "_n", "_piece", "_before", inside.alias("_ranks")).filter(F.size("_ranks") > 0)
-    chosen = pieces.drop("_n", "_cuts", *by).join(F.broadcast(wanted), [*ids, "_piece"])
+    wanted = wanted.withColumnsRenamed({c: f"_at{c}" for c in [*ids, "_piece"]})
+    here = every([F.col(c).eqNullSafe(F.col(f"_at{c}")) for c in [*ids, "_piece"]])
+    chosen = pieces.drop("_n", "_cuts", *by).join(F.broadcast(wanted), here)
     end = F.col("_before") + F.sum("_copies").over(Window.partitionBy(*ids, "_piece").orderBy("_v"))
     found = chosen.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_copies"))
     found = found.withColumn("_rank", F.explode("_ranks")).filter(

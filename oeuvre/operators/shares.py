@@ -57,9 +57,9 @@ def group_shares(
     meets one row per country and report cell.  Countries that are unknown, or
     that lack any attribute in ``groups``, are left out.
     """
-    (country,) = on
-    cells = complete(sum_by(counts, value, country, *within))
-    placed = complete(left_join(cells, groups, on))
+    ((country, code),) = on.items()
+    cells = sum_by(counts, value, country, *within)
+    placed = complete(cells.join(groups.withColumnRenamed(code, country), country))
     return share_of_total(sum_by(placed, "n", *within, group, name="nn"), "nn", within)
 
 

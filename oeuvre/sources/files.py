@@ -20,9 +20,9 @@ def catalog_table(spark: SparkSession, name: str, database: str | None = None) -
     return spark.table(f"{database}.{name}" if database else name)
 
 
-def parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+def parquet(spark: SparkSession, path: str, *columns: str, schema: str | None = None) -> DataFrame:
     """A Parquet table, reading only the named columns from the files."""
-    df = spark.read.parquet(path)
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     return df.select(*columns) if columns else df
 
 
