@@ -253,8 +253,7 @@ def specialisation(t):
 @query
 def specialisation_main(t):
     """The report without regions of few papers, and with the highlighted ones marked."""
-    report = region_ratio(t).filter(rel.not_in("sub_continent", ["AFRICA"]))
-    marked = report.withColumn("highlight", F.col("sub_continent").isin("AMERICA", "EUROPE"))
+    marked = shares.region_report(region_ratio(t), ["AFRICA"], ["AMERICA", "EUROPE"])
     return rounded(marked.select(LABEL, "year", "sub_continent", "specialisation", "highlight"), 6, "specialisation")
 
 

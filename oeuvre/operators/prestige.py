@@ -12,7 +12,7 @@ from oeuvre.operators.lineage import written
 from oeuvre.operators.quantiles import QUINTILES, box_stats_log10, quantile_bins
 from oeuvre.operators.relations import left_join
 from oeuvre.operators.shares import proportions
-from oeuvre.operators.skew import HOT_ROWS
+from oeuvre.operators.skew import HOT_ROWS, lookup_join
 
 # Ranking entries that are used, its numeric columns, texts of the report.
 ALL_FIELDS = "All sciences"
@@ -36,11 +36,13 @@ def match_prestige(output: DataFrame, key: DataFrame, ranking: DataFrame, null_k
     """Output of institutions with the ranking of the period that ends that year.
 
     An institution may map to several universities and the other way round; every
-    pair is kept.  All three tables are finished aggregates or lookups.
+    pair is kept.  ``null_keys`` tells whether an unknown institution may meet an
+    unknown one in the key.  Most institutions are in no ranking, so their rows
+    carry no university; they are spread over the shuffle, as they match nothing.
     """
     named = left_join(output, key, "affiliationid", null_keys)
-    on = {"University": "University", "year": "last_year_of_period"}
-    return left_join(named, ranking, on, null_keys)
+    periods = ranking.withColumnRenamed("last_year_of_period", "year")
+    return lookup_join(named, periods, ["University", "year"], hot_rows=None)
 
 
 def inclusion_rows(matched: DataFrame, year: int, merge_labels: bool = False) -> DataFrame:

@@ -60,8 +60,8 @@ def topic_sample(matches: DataFrame, papers: DataFrame, years: tuple[int, int] =
 def field_list(matches: DataFrame, name: str = "fosid_aggregated") -> DataFrame:
     """Matching fields of a paper as text, in order, once for each match.
 
-    Equal pairs are counted before the list is made, which leaves a paper with
-    no more entries than the topics have fields.
+    The text of a paper is one value by definition.  Equal pairs are counted
+    before it is put together, so it has at most one entry for each topic field.
     """
     pairs = matches.groupBy(PAPER, FIELD).agg(F.count("*").cast("int").alias("_n"))
     entries = F.sort_array(F.collect_list(F.struct(FIELD, "_n")))

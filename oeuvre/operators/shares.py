@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oeuvre.functions.columns import ratio, strict_mean
-from oeuvre.operators.relations import complete, left_join
+from oeuvre.operators.relations import complete, left_join, not_in
 from oeuvre.operators.skew import names
 
+# Regions left out of the report, and regions marked in it.
+SMALL_REGIONS = ("Melanesia", "Polynesia", "Micronesia")
+MAIN_REGIONS = ("Northern America", "Western Europe", "Northern Europe", "Eastern Asia")
+
 
 def row_count(df: DataFrame, name: str = "n") -> DataFrame:
     return df.agg(F.count("*").alias(name))
@@ -77,6 +81,16 @@ def specialisation(sample: DataFrame, baseline: DataFrame, by: Sequence[str]) ->
     return paired.withColumn("specialisation", ratio("share_sdg", "share"))
 
 
+def region_report(
+    ratios: DataFrame,
+    omit: Sequence[str] = SMALL_REGIONS,
+    highlight: Sequence[str] = MAIN_REGIONS,
+    group: str = "sub_continent",
+) -> DataFrame:
+    """Specialisation without regions of very few papers, the main ones marked."""
+    return ratios.filter(not_in(group, omit)).withColumn("highlight", F.col(group).isin(*highlight))
+
+
 def mean_by(df: DataFrame, value: str, *keys: str, name: str | None = None, skip_nulls: bool = False) -> DataFrame:
     agg = F.avg(value) if skip_nulls else strict_mean(value)
     return df.groupBy(*keys).agg(agg.alias(name or f"mean_{value}"))

@@ -99,7 +99,7 @@ def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
     on: str | Sequence[str],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     count: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of rows that differ from each other, in a single pass over them.
@@ -108,20 +108,22 @@ def lookup_join(
     rows that have a null key they are spread over the shuffle by a hash of the
     whole row.  That suits tables with an id, and chains of lookups, in which
     ``split_join`` would evaluate its input once more for each step.  ``count``
-    names a cheaper table to count the keys in.
+    names a cheaper table to count the keys in; ``hot_rows=None`` says that no
+    key but null can be heavy.
     """
     keys = names(on)
     extra = [c for c in lookup.columns if c not in keys]
     known = every([F.col(k).isNotNull() for k in keys])
-    heavy = heavy_groups((count if count is not None else rows).filter(known), keys, hot_rows)
-    payload = lookup.select(*keys, F.struct(F.lit(True).alias("_hit"), *extra).alias("_heavy"))
-    few = payload.join(F.broadcast(heavy), keys, "left_semi")
+    payload = lookup.select(*keys, F.struct(F.lit(True).alias("_hit"), *extra).alias("_light"))
     hashable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     spread = 1 + F.pmod(F.xxhash64(*hashable), F.lit(SALTS))
-    done = F.col("_heavy").isNotNull() | ~known
-    first = rows.join(F.broadcast(few), keys, "left")
+    if hot_rows is None:
+        first, done, found = rows, ~known, F.col("_light")
+    else:
+        heavy = heavy_groups((count if count is not None else rows).filter(known), keys, hot_rows)
+        few = payload.join(F.broadcast(heavy), keys, "left_semi").withColumnRenamed("_light", "_heavy")
+        first = rows.join(F.broadcast(few), keys, "left")
+        done, found = F.col("_heavy").isNotNull() | ~known, F.coalesce("_heavy", "_light")
     first = first.withColumn("_salt", F.when(done, spread).otherwise(F.lit(0).cast("long")))
-    second = payload.select(*keys, F.lit(0).cast("long").alias("_salt"), F.col("_heavy").alias("_light"))
-    joined = first.join(second, [*keys, "_salt"], "left")
-    found = F.coalesce("_heavy", "_light")
+    joined = first.join(payload.withColumn("_salt", F.lit(0).cast("long")), [*keys, "_salt"], "left")
     return joined.select(*rows.columns, *[found[c].alias(c) for c in extra])

@@ -40,7 +40,7 @@ def test_split_join(spark, skewed, how, hot_rows):
     assert rows(split_join(skewed, lookup, "k", how, hot_rows)) == rows(skewed.join(lookup, "k", how).select("k", "s", "v", "x"))
 
 
-@pytest.mark.parametrize("hot_rows", [0, 3, 300, NEVER])
+@pytest.mark.parametrize("hot_rows", [None, 0, 3, 300, NEVER])
 def test_lookup_join(spark, skewed, hot_rows):
     lookup = spark.createDataFrame([(k, f"x{k}", k % 3 or None) for k in range(1, 100)], "k bigint, x string, y int")
     lookup = lookup.unionByName(spark.createDataFrame([(7, "again", None)], lookup.schema))
