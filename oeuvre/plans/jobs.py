@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oeuvre.operators import authorship, coverage, enrich, growth, open_access, prestige, relations, sample, shares
+from oeuvre.operators.lineage import written
 from oeuvre.sources import files, schemas
 
 
@@ -108,7 +109,8 @@ def report(
     codes: Sequence[str] = ("NY.GDP.PCAP.KD",),
     least: float = 50.0,
 ) -> dict[str, DataFrame]:
-    """Every table of the analysis, none of them computed yet."""
+    """Every table of the analysis.  Output beside rankings is written once, as
+    several tables start from it; nothing else is computed yet."""
     label, country = "SDG_label", {"country": "country_code"}
     papers = tables.papers.filter(F.col("year") <= years[1]).join(tables.labels, "paperid")
     corpus = tables.corpus.filter(F.col("year").between(*years))
@@ -136,7 +138,7 @@ def report(
     output = authorship.fractional_productivity(papers, tables.authors)
     corpus_output = authorship.fractional_corpus(corpus, tables.corpus_authors)
     ranking = prestige.clean_ranking(tables.ranking)
-    matched = prestige.match_prestige(output, tables.ranking_key, ranking)
+    matched = written(prestige.match_prestige(output, tables.ranking_key, ranking))
     matched_corpus = prestige.match_prestige(corpus_output, tables.ranking_key, ranking)
     found["inclusion"] = prestige.inclusion_stats(matched, year, merge_labels=True)
     found["prestige_correlation"] = prestige.prestige_correlation(matched, year)

@@ -1,4 +1,4 @@
-"""Every query gives what its SQL counterpart gives in DuckDB."""
+"""Every query gives what its SQL counterpart gives in DuckDB, within the engine."""
 
 import glob
 import os
@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+FOREIGN = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "InPandas", "BatchEvalPython")
 TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -39,6 +40,8 @@ def test_query(spark, duck, name):
     result = duck.execute(sql)
     names = [c[0] for c in result.description]
     assert lines(df.columns, df.collect()) == lines(names, result.fetchall())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [word for word in FOREIGN if word in plan]
 
 
 def test_entry(spark):
