@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000
-SALTS = 4_096
 
 
 def names(keys: str | Sequence[str]) -> list[str]:
@@ -104,9 +103,9 @@ def lookup_join(
 ) -> DataFrame:
     """Left join of rows that differ from each other, in a single pass over them.
 
-    Rows of heavy keys take their lookup rows from a broadcast, and together with
-    rows that have a null key they are spread over the shuffle by a hash of the
-    whole row.  That suits tables with an id, and chains of lookups, in which
+    Rows of heavy keys take their lookup rows from a broadcast.  Together with
+    rows that have a null key they go through the shuffle without a key, by a hash
+    of the whole row, which spreads them; the others go by a hash of their key.  That suits tables with an id, and chains of lookups, in which
     ``split_join`` would evaluate its input once more for each step.  ``count``
     names a cheaper table to count the keys in; ``hot_rows=None`` says that no
     key but null can be heavy.
@@ -115,8 +114,6 @@ def lookup_join(
     extra = [c for c in lookup.columns if c not in keys]
     known = every([F.col(k).isNotNull() for k in keys])
     payload = lookup.select(*keys, F.struct(F.lit(True).alias("_hit"), *extra).alias("_light"))
-    hashable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    spread = 1 + F.pmod(F.xxhash64(*hashable), F.lit(SALTS))
     if hot_rows is None:
         first, done, found = rows, ~known, F.col("_light")
     else:
@@ -124,6 +121,9 @@ def lookup_join(
         few = payload.join(F.broadcast(heavy), keys, "left_semi").withColumnRenamed("_light", "_heavy")
         first = rows.join(F.broadcast(few), keys, "left")
         done, found = F.col("_heavy").isNotNull() | ~known, F.coalesce("_heavy", "_light")
-    first = first.withColumn("_salt", F.when(done, spread).otherwise(F.lit(0).cast("long")))
-    joined = first.join(payload.withColumn("_salt", F.lit(0).cast("long")), [*keys, "_salt"], "left")
+    hashable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    token = F.when(done, F.xxhash64(*hashable)).otherwise(F.xxhash64(*keys))
+    first = first.withColumns({"_token": token, **{f"_to_{k}": F.when(~done, F.col(k)) for k in keys}})
+    second = payload.withColumn("_token", F.xxhash64(*keys)).withColumnsRenamed({k: f"_to_{k}" for k in keys})
+    joined = first.join(second, ["_token", *[f"_to_{k}" for k in keys]], "left")
     return joined.select(*rows.columns, *[found[c].alias(c) for c in extra])

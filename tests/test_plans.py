@@ -1,10 +1,12 @@
 """What the plans look like: pruned scans, pushed filters, shuffles that are shared."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from oeuvre.catalogue import queries as catalogue
 from oeuvre.catalogue.tables import Tables
 from oeuvre.operators import authorship, sample
+from oeuvre.operators.skew import lookup_join
 
 FOLDER = "/root/testdata/sf0.001"
 ROOMY = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
@@ -61,3 +63,21 @@ def test_heavy_rows_are_not_shuffled(spark, no_small_tables):
     _, rest = authorship._sides(t.papers.select("paperid", "year"), t.authors, 3)
     plan = final(rest)
     assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("hot_rows", [100, None])
+def test_rows_without_a_match_are_spread(spark, no_small_tables, hot_rows):
+    """Rows with a null or heavy key do not meet in one partition."""
+    key = "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END"
+    rows = spark.range(9000).selectExpr("id", f"CAST({key} AS BIGINT) AS k")
+    lookup = spark.range(5000).selectExpr("id AS k", "id AS v")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = lookup_join(rows, lookup, "k", hot_rows).withColumn("part", F.spark_partition_id())
+        counts = joined.groupBy("part", "k").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r["count"] for r in counts) == 9000
+    assert max(r["count"] for r in counts if r.k is None) < 1500
+    if hot_rows:
+        assert max(r["count"] for r in counts if r.k == 7) < 1500
