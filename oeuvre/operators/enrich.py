@@ -50,8 +50,9 @@ def with_funding(
 
 
 def funders_in_sample(funders: DataFrame, papers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Funder rows of the sampled papers."""
-    return split_join(funders, papers.select("paperid", "doi").distinct(), "doi", "inner", hot_rows)
+    """Funder rows of the sampled papers.  An empty DOI stands for none."""
+    named = papers.filter(F.col("doi") != "").select("paperid", "doi").distinct()
+    return split_join(funders, named, "doi", "inner", hot_rows)
 
 
 def conference_means(conferences: DataFrame) -> DataFrame:

@@ -36,13 +36,13 @@ def topic_matches(
     topics: DataFrame, scores: DataFrame, min_score: float = MIN_SCORE, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Paper and field pairs of a topic that score high enough."""
-    certain = scores.filter(F.col("score") >= min_score)
+    certain = scores.select(PAPER, FIELD, "score").filter(F.col("score") >= min_score)
     return split_join(certain, topics.select(FIELD, "SDG_label"), FIELD, "inner", hot_rows)
 
 
 def eligible_papers(papers: DataFrame, years: tuple[int, int] = YEARS) -> DataFrame:
     """Papers of the period with a DOI that come from a journal or a conference."""
-    venue = F.coalesce("journalid", "conferenceinstanceid").isNotNull()
+    venue = F.col("journalid").isNotNull() | F.col("conferenceinstanceid").isNotNull()
     rows = papers.filter(F.col("year").between(*years) & venue & (F.col("doi") != ""))
     return rows.select(*[c for c in SAMPLE_COLUMNS if c in papers.columns]).distinct()
 

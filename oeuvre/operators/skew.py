@@ -71,10 +71,10 @@ def split_join(
     hot_rows: int = HOT_ROWS,
     count: DataFrame | None = None,
 ) -> DataFrame:
-    """Join many ``rows`` per key with a ``lookup`` that has few.
+    """Join many ``rows`` per key with a ``lookup`` that has one or a few.
 
     Rows of heavy keys are not shuffled: they meet the lookup rows of those keys
-    by broadcast.  The others meet the lookup in an ordinary join.  With
+    by broadcast, which are at most that few for each heavy key.  The others meet the lookup in an ordinary join.  With
     ``how="left"`` rows with a null key skip the shuffle too, for they match
     nothing.  ``count`` names a cheaper table to count the keys in.
     """

@@ -40,6 +40,30 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in plan
 
 
+def test_sample_filters_are_pushed_down(spark, tmp_path):
+    spark.createDataFrame([], "paperid bigint, fieldofstudyid bigint, score double, rest string").write.parquet(f"{tmp_path}/s")
+    Tables(spark, FOLDER).papers.write.parquet(f"{tmp_path}/p")
+    topics = spark.createDataFrame([], "fieldofstudyid bigint, SDG_label string")
+    plan = planned(sample.topic_matches(topics, spark.read.parquet(f"{tmp_path}/s")))
+    assert "GreaterThanOrEqual(score,0.497)" in plan
+    assert "ReadSchema: struct<paperid:bigint,fieldofstudyid:bigint,score:double>" in plan
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = planned(sample.eligible_papers(spark.read.parquet(f"{tmp_path}/p")))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    for pushed in ("GreaterThanOrEqual(year,2006)", "LessThanOrEqual(year,2020)", "Not(EqualTo(doi,))"):
+        assert pushed in plan
+    assert "Or(IsNotNull(journalid),IsNotNull(conferenceinstanceid))" in plan
+
+
+def test_bucketed_tables_need_no_shuffle_by_paper(spark, no_small_tables):
+    t = Tables(spark, FOLDER)
+    spark.sql("CREATE DATABASE IF NOT EXISTS buckets")
+    for name, df in (("papers", t.papers), ("authors", t.authors)):
+        df.write.mode("overwrite").bucketBy(4, "paperid").saveAsTable(f"buckets.{name}")
+    found = authorship.fractional_corpus(spark.table("buckets.papers"), spark.table("buckets.authors"))
+    assert "hashpartitioning(paperid" not in final(found)
+
+
 def test_heavy_branch_vanishes(spark, no_small_tables):
     """Without heavy papers the split leaves one scan for counting and one for the join."""
     t = Tables(spark, FOLDER)
