@@ -49,9 +49,9 @@ def left_join(
 
 
 def backfill(df: DataFrame, other: DataFrame, on: str, column: str) -> DataFrame:
-    """Fill nulls of ``column`` from a second source with one row for each id."""
-    spare = other.select(on, F.col(column).alias("_spare"))
-    filled = left_join(df, spare, on).withColumn(column, F.coalesce(column, "_spare"))
+    """Fill nulls of ``column`` from a second source, which must have one row for each id."""
+    spare = other.filter(F.col(on).isNotNull()).select(on, F.col(column).alias("_spare"))
+    filled = left_join(df, spare, on, unique=True).withColumn(column, F.coalesce(column, "_spare"))
     return filled.select(*df.columns)
 
 

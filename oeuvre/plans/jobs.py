@@ -1,4 +1,4 @@
-"""The three jobs: select a sample, enrich it, and report on it.
+"""The jobs: select a sample, enrich it, complete the countries, and report.
 
 Jobs hand over to each other in Parquet below one output folder, so each shared
 step runs once and a lost executor costs no more than its own tasks.
@@ -12,9 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oeuvre.operators import authorship, coverage, enrich, growth, open_access, prestige, relations, sample, shares
+from oeuvre.operators import authorship, coverage, enrich, gender, growth, open_access, prestige, relations, sample, shares
 from oeuvre.operators.lineage import written
-from oeuvre.sources import files, schemas
+from oeuvre.sources import files, records, schemas
 
 
 @dataclass(frozen=True)
@@ -83,6 +83,48 @@ def enrich_sample(spark: SparkSession, job: EnrichJob) -> DataFrame:
     return collated
 
 
+@dataclass(frozen=True)
+class CountryJob:
+    """Author and affiliation files, and records and codes of a second source."""
+
+    authors: str
+    affiliations: str
+    records: str
+    codes: str
+    out: str
+
+
+def import_countries(spark: SparkSession, job: CountryJob) -> DataFrame:
+    """Write the countries of the institution records that carry an affiliation id."""
+    found = files.records(spark, job.records, schemas.INSTITUTION)
+    codes = files.delimited(spark, job.codes, schema=schemas.COUNTRY_CODES)
+    imported = records.import_institutions(found.select("ids", "country_code"), codes)
+    ids = imported.withColumn("affiliationid", F.col("affiliationid").try_cast("bigint"))
+    known = relations.complete(ids, ["affiliationid"]).select("affiliationid", "country_code", "Alpha3")
+    return _stage(known, f"{job.out}/affiliation_countries")
+
+
+def complete_countries(spark: SparkSession, job: CountryJob) -> dict[str, DataFrame]:
+    """Write the file that fills missing countries, and audit both sources.
+
+    Affiliations the author table mentions are written once, for all five tables.
+    """
+    source = import_countries(spark, job)
+    authors = files.tabs(spark, job.authors, schemas.AUTHORS)
+    places = files.delimited(spark, job.affiliations, files.NULL_TOKEN, schemas.AFFILIATIONS)
+    seen = _stage(coverage.seen_affiliations(authors, places), f"{job.out}/seen_affiliations")
+    missing = seen.filter(F.col("country").isNull()).select("affiliationid")
+    filled = _stage(coverage.gap_file(seen, source), f"{job.out}/additional_country_information")
+    files.write_report(filled, f"{job.out}/additional_country_information.csv")
+    return {
+        "coverage": coverage.coverage(seen, "country"),
+        "gap_coverage": coverage.gap_coverage(missing, source),
+        "agreement": coverage.agreement(seen, source),
+        "disagreements": coverage.disagreements(seen, source),
+        "gap_file": filled,
+    }
+
+
 @dataclass(frozen=True)
 class Inputs:
     """Tables of the report.  ``extra_countries`` fills gaps in the affiliations."""
@@ -99,6 +141,46 @@ class Inputs:
     ranking: DataFrame
     ranking_key: DataFrame
     indicators: DataFrame
+    people: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Paths:
+    """Files of the report: ``sample`` is the output folder of the first two jobs."""
+
+    sample: str
+    corpus: str
+    corpus_authors: str
+    affiliations: str
+    extra_countries: str
+    countries: str
+    incomes: str
+    ranking: str
+    ranking_key: str
+    indicators: str
+    people: str | None = None
+
+
+def read_inputs(spark: SparkSession, paths: Paths) -> Inputs:
+    """Open every input in its format.  Key and country files use ``;`` between columns."""
+    table = lambda path, schema, options=files.HEADER: files.delimited(spark, path, options, schema)
+    key = files.european(spark, paths.ranking_key, ["affiliationid"])
+    key = key.select(F.col("affiliationid").cast("bigint").alias("affiliationid"), "University")
+    return Inputs(
+        papers=spark.read.parquet(f"{paths.sample}/sdg_papers_collated"),
+        labels=spark.read.parquet(f"{paths.sample}/sdg_labels"),
+        authors=spark.read.parquet(f"{paths.sample}/sdg_author_paper_affil"),
+        corpus=files.tabs(spark, paths.corpus, schemas.CORPUS),
+        corpus_authors=files.tabs(spark, paths.corpus_authors, schemas.AUTHORS),
+        affiliations=table(paths.affiliations, schemas.AFFILIATIONS, files.NULL_TOKEN),
+        extra_countries=spark.read.parquet(paths.extra_countries).select("affiliationid", "country"),
+        countries=table(paths.countries, schemas.COUNTRIES, files.SEMICOLON),
+        incomes=table(paths.incomes, schemas.INCOME_COUNTRIES),
+        ranking=table(paths.ranking, schemas.RANKING),
+        ranking_key=key,
+        indicators=table(paths.indicators, schemas.INDICATORS),
+        people=table(paths.people, schemas.AUTHOR_METADATA) if paths.people else None,
+    )
 
 
 def report(
@@ -109,8 +191,9 @@ def report(
     codes: Sequence[str] = ("NY.GDP.PCAP.KD",),
     least: float = 50.0,
 ) -> dict[str, DataFrame]:
-    """Every table of the analysis.  Output beside rankings is written once, as
-    several tables start from it; nothing else is computed yet."""
+    """Every table of the analysis.  Counts by country and output beside rankings
+    are written once, as several tables start from them; the rest is computed when
+    it is used."""
     label, country = "SDG_label", {"country": "country_code"}
     papers = tables.papers.filter(F.col("year") <= years[1]).join(tables.labels, "paperid")
     corpus = tables.corpus.filter(F.col("year").between(*years))
@@ -119,8 +202,8 @@ def report(
     counts = shares.count_by(papers, label, "year")
     trend = shares.share_of_baseline(counts, shares.count_by(corpus, "year", name="overall_n"), "year")
     label_rows = papers.select("paperid", label, "year")
-    by_label = authorship.country_counts(label_rows, tables.authors, tables.affiliations, "year", label)
-    by_year = authorship.country_counts(corpus.select("paperid", "year"), tables.corpus_authors, filled, "year")
+    by_label = written(authorship.country_counts(label_rows, tables.authors, tables.affiliations, "year", label))
+    by_year = written(authorship.country_counts(corpus.select("paperid", "year"), tables.corpus_authors, filled, "year"))
     found = {
         "label_counts": shares.count_by(papers, label),
         "growth": growth.yearly_growth(trend, "prop", label),
@@ -133,7 +216,13 @@ def report(
     for name, groups, group in (("region", tables.countries, "sub_continent"), ("income", incomes, "income_group")):
         part = shares.group_shares(by_label, groups, country, group, [label, "year"])
         whole = shares.group_shares(by_year, groups, country, group, ["year"])
-        found[f"{name}_specialisation"] = shares.specialisation(part, whole, ["year", group])
+        ratios = shares.specialisation(part, whole, ["year", group])
+        found[f"{name}_specialisation"] = ratios
+        found[f"{name}_means"] = shares.mean_by(ratios, "specialisation", group, label)
+    found["region_report"] = shares.region_report(found["region_specialisation"])
+    if tables.people is not None:
+        for name, keys in (("gender", [label, "year"]), ("gender_position", [label, "year", "author_position"])):
+            found[name] = gender.gender_share(papers, tables.authors, tables.people, *keys, before=years[1] + 1)
 
     output = authorship.fractional_productivity(papers, tables.authors)
     corpus_output = authorship.fractional_corpus(corpus, tables.corpus_authors)
