@@ -56,7 +56,7 @@ def fractional_weight(
     rows: DataFrame, author: str = AUTHOR, paper: str = PAPER, name: str = "frac_value", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add one divided by the number of rows of the same author on the same paper."""
-    counted = over_groups(rows, [author, paper], {"_n": F.count("*")}, hot_rows)
+    counted = over_groups(rows, [paper, author], {"_n": F.count("*")}, hot_rows)
     return counted.withColumn(name, ratio(F.lit(1), "_n")).drop("_n")
 
 
@@ -79,19 +79,19 @@ def _sides(
 
     The first part holds the papers of up to ``hot_rows`` author rows, including
     those with none, shuffled by paper.  The second holds the others.  ``last``
-    adds the highest sequence number of the paper; ``count`` names a cheaper
-    table to count the author rows in.
+    adds the highest sequence number of the paper, found on the author rows alone
+    in the order the join needs anyway; ``count`` names a cheaper table to count
+    the author rows in.
     """
     heavy = heavy_groups(count if count is not None else authors, PAPER, hot_rows)
     heavy_rows = authors.join(F.broadcast(heavy), PAPER, "left_semi")
     few = papers.join(F.broadcast(heavy), PAPER, "left_semi")
-    light = papers.join(F.broadcast(heavy), PAPER, "left_anti").join(
-        authors.join(F.broadcast(heavy), PAPER, "left_anti"), PAPER, "left"
-    )
+    light_rows = authors.join(F.broadcast(heavy), PAPER, "left_anti")
     rest = heavy_rows.join(F.broadcast(few), PAPER)
     if last:
-        light = light.withColumn("_last", F.max(SEQUENCE).over(Window.partitionBy(PAPER)))
+        light_rows = light_rows.withColumn("_last", F.max(SEQUENCE).over(Window.partitionBy(PAPER)))
         rest = rest.join(F.broadcast(heavy_rows.groupBy(PAPER).agg(F.max(SEQUENCE).alias("_last"))), PAPER)
+    light = papers.join(F.broadcast(heavy), PAPER, "left_anti").join(light_rows, PAPER, "left")
     return light, rest.select(*light.columns)
 
 
@@ -179,7 +179,7 @@ def fractional_rows(
     """
     if weight_over not in ("label_rows", "affiliations"):
         raise ValueError(f"weight_over must be 'label_rows' or 'affiliations', not {weight_over!r}")
-    keys = [AUTHOR, PAPER] + ([label] if weight_over == "affiliations" else [])
+    keys = [PAPER, AUTHOR] + ([label] if weight_over == "affiliations" else [])
     light, rest = _sides(papers, authors.select(PAPER, AUTHOR, AFFILIATION), hot_rows)
     light = light.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     rest = over_groups(rest, keys, {"_n": F.count("*")}, hot_rows)

@@ -112,7 +112,8 @@ def bin_shares(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Share of output that falls to each prestige bin."""
-    return proportions(prestige_bins(matched, [column], labels, hot_rows), column, value, *keys)
+    needed = matched.select(*dict.fromkeys([*keys, "Period", "P_top10", column, value]))
+    return proportions(prestige_bins(needed, [column], labels, hot_rows), column, value, *keys)
 
 
 def bin_shares_with_baseline(

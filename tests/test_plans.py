@@ -73,13 +73,19 @@ def test_heavy_branch_vanishes(spark, no_small_tables):
     assert plan.count("l_suppkey") > 0 and plan.count("FileScan parquet [l_orderkey") == 1
 
 
-def test_window_reuses_the_shuffle_of_the_join(spark, no_small_tables):
-    """Joining on the paper and counting by author and paper takes one shuffle of the author rows."""
+def test_window_and_join_share_a_shuffle_and_a_sort(spark, no_small_tables):
+    """The last place of a paper and the join on the paper take one shuffle of the author rows."""
     t = Tables(spark, FOLDER)
     light, _ = authorship._sides(t.papers.select("paperid", "year"), t.authors, 10**9, last=True)
     plan = final(light)
-    window = plan[plan.index("Window") : plan.index("SortMergeJoin")]
-    assert "Exchange" not in window
+    assert plan.index("SortMergeJoin") < plan.index("Window")
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count(" Sort [") == 2
+
+
+def test_count_by_author_reuses_the_shuffle_of_the_join(spark, no_small_tables):
+    t = Tables(spark, FOLDER)
+    plan = final(authorship.fractional_rows(t.papers.select("paperid", "year"), t.authors))
+    assert "Exchange" not in plan[plan.index("Window") : plan.index("SortMergeJoin")]
 
 
 def test_heavy_rows_are_not_shuffled(spark, no_small_tables):
