@@ -440,7 +440,8 @@ def country_coverage(t):
 
 @query
 def gap_coverage(t):
-    return rounded(coverage.gap_coverage(coverage.missing_ids(t.authors, t.affiliations), t.second_source), 6, "country_share")
+    missing = coverage.missing_ids(t.authors, t.affiliations)
+    return rounded(coverage.gap_coverage(missing, t.second_source), 6, "country_share")
 
 
 @query

@@ -55,8 +55,16 @@ def _with_roles(rows: DataFrame, sequence: str = SEQUENCE) -> DataFrame:
 def fractional_weight(
     rows: DataFrame, author: str = AUTHOR, paper: str = PAPER, name: str = "frac_value", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add one divided by the number of rows of the same author on the same paper."""
-    counted = over_groups(rows, [paper, author], {"_n": F.count("*")}, hot_rows)
+    """Add one divided by the number of rows of the same author on the same paper.
+
+    Rows are counted by paper to find heavy groups, as an author's rows on a paper
+    are never more than the paper's.
+    """
+    heavy = F.broadcast(heavy_groups(rows, paper, hot_rows))
+    size = F.count("*").over(Window.partitionBy(paper, author))
+    light = rows.join(heavy, paper, "left_anti").withColumn("_n", size)
+    rest = over_groups(rows.join(heavy, paper, "left_semi"), [paper, author], {"_n": F.count("*")}, hot_rows)
+    counted = light.unionByName(rest)
     return counted.withColumn(name, ratio(F.lit(1), "_n")).drop("_n")
 
 

@@ -72,7 +72,8 @@ def normalised_citations(
     A paper with a conference is measured by it even if its mean is missing.
     """
     count = papers if count is None else count
-    placed = lookup_join(papers, journals.select("journalid", "year", "mean_citations"), ["journalid", "year"], hot_rows, count)
+    means = journals.select("journalid", "year", "mean_citations")
+    placed = lookup_join(papers, means, ["journalid", "year"], hot_rows, count)
     placed = lookup_join(placed, conference_means(conferences), "conferenceinstanceid", hot_rows, count)
     mean = F.when(F.col("conferenceinstanceid").isNotNull(), F.col("mean_conf_citations")).when(
         F.col("journalid").isNotNull(), F.col("mean_citations")

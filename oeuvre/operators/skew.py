@@ -105,10 +105,11 @@ def lookup_join(
 
     Rows of heavy keys take their lookup rows from a broadcast.  Together with
     rows that have a null key they go through the shuffle without a key, by a hash
-    of the whole row, which spreads them; the others go by a hash of their key.  That suits tables with an id, and chains of lookups, in which
-    ``split_join`` would evaluate its input once more for each step.  ``count``
-    names a cheaper table to count the keys in; ``hot_rows=None`` says that no
-    key but null can be heavy.
+    of the whole row, which spreads them; the others go by a hash of their key.
+    That suits tables with an id, and chains of lookups, in which ``split_join``
+    would evaluate its input once more for each step.  ``count`` names a cheaper
+    table to count the keys in; ``hot_rows=None`` says that no key but null can
+    be heavy.
     """
     keys = names(on)
     extra = [c for c in lookup.columns if c not in keys]
@@ -121,7 +122,8 @@ def lookup_join(
         few = payload.join(F.broadcast(heavy), keys, "left_semi").withColumnRenamed("_light", "_heavy")
         first = rows.join(F.broadcast(few), keys, "left")
         done, found = F.col("_heavy").isNotNull() | ~known, F.coalesce("_heavy", "_light")
-    hashable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    unhashable = (T.MapType, T.VariantType)
+    hashable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, unhashable)]
     token = F.when(done, F.xxhash64(*hashable)).otherwise(F.xxhash64(*keys))
     first = first.withColumns({"_token": token, **{f"_to_{k}": F.when(~done, F.col(k)) for k in keys}})
     second = payload.withColumn("_token", F.xxhash64(*keys)).withColumnsRenamed({k: f"_to_{k}" for k in keys})
