@@ -45,7 +45,84 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_
 FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+
+
+def spans(k: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Rows (row, k, kind, a, b): the matches of a pattern in code points."""
+    whole = f"([\\s\\S]*?)({pattern})"
+    part = lambda g: f"regexp_extract_all(t, '{whole.replace(chr(39), chr(39) * 2)}', {g})"
+    return f"""
+SELECT row, {k} AS k, '{kind}' AS kind, b - own AS a, b, part FROM (
+    SELECT row, own, part, sum(gap + own) OVER (PARTITION BY row ORDER BY i) AS b FROM (
+        SELECT row, i, length(g[i]) AS gap, length(o[i]) AS own, length(p[i]) AS part FROM (
+            SELECT *, unnest(range(1, len(o) + 1)) AS i FROM (
+                SELECT row, {part(1)} AS g, {part(2)} AS o, {part(2 + group)} AS p FROM docs))))
+WHERE part >= {least}"""
+
+
+ASSIGN = (
+    "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
+    "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+SECRETS = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+{" UNION ALL ".join([spans(0, "assign", ASSIGN, 2, 6), spans(1, "access", "(AKIA[A-Z0-9]+)", 1, 20), spans(2, "hex", "([0-9a-f]+)", 1, 24)])}
+),
+each AS (
+    SELECT row, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+        string_agg(concat_ws(':', kind, a::BIGINT, b::BIGINT), ',' ORDER BY a, k) AS spans
+    FROM found GROUP BY row
+)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+    sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN each USING (row)
+"""
+
+MIXING = rf"""
+WITH marks AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+docs AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+        CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS weight,
+        (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
+    FROM documents LEFT JOIN marks USING (doc_id)
+),
+sums AS (
+    SELECT source, sum(size)::DOUBLE AS s, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+    FROM docs GROUP BY source
+),
+shares AS (
+    SELECT source, s, w,
+        2 * s / w <= (1.5 * sum(s) OVER () - coalesce(2 * sum(s) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0))
+            AS capped
+    FROM sums
+    WINDOW before AS (ORDER BY s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+goals AS (
+    SELECT source, s, CASE WHEN capped THEN 2 * s ELSE
+        (1.5 * sum(s) OVER () - coalesce(sum(2 * s) FILTER (capped) OVER (), 0))
+        / (sum(w) OVER () - coalesce(sum(w) FILTER (capped) OVER (), 0)) * w END AS target
+    FROM shares
+),
+budgets AS (
+    SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS epochs, floor(target) - epochs * s AS budget FROM goals
+),
+ranked AS (
+    SELECT doc_id, size, s, target, epochs, budget, docs.source AS source,
+        coalesce(sum(size) OVER (PARTITION BY docs.source ORDER BY 1 - pow(u, 1 / weight), doc_id, size
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM docs JOIN budgets ON docs.source IS NOT DISTINCT FROM budgets.source
+)
+SELECT doc_id, size, s::BIGINT AS source_size, target::DOUBLE AS target,
+    (epochs * size + greatest(0, least(size, budget - before)))::BIGINT AS taken, source
+FROM ranked
+"""
+
 SQL = {
+    "op4_secret_scan": SECRETS,
+    "op6_mix_sources": MIXING,
     "op8_ngram_jaccard_join": JACCARD,
     "op10_substring_dedup": SUBSTRING,
 }
