@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oeuvre.llm import jaccard, mixing, oracle, secrets, substring
+from oeuvre.llm import jaccard, mixing, oracle, quality, secrets, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_secret_scan": secrets.query,
+        "op5_quality_classifier": quality.query,
         "op6_mix_sources": mixing.query,
         "op8_ngram_jaccard_join": jaccard.query,
         "op10_substring_dedup": substring.query,
