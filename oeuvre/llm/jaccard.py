@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from oeuvre.llm import words as w
 from oeuvre.llm.graph import components
-from oeuvre.llm.shared import bit_map, in_map, lookup, mapped, signed, staged
+from oeuvre.llm.shared import bit_map, in_map, lookup, mapped, signed, staged, vector_row, vector_sum
 
 SIZE = 5
 PERCENT = 75
@@ -69,29 +69,13 @@ def profiles(size: int):
                 nodes[i], counts[i] = name(values), len(values)
                 np.add.at(sketch, (values & np.uint64(SKETCH - 1)).astype(np.int64), 1)
             empty = pa.nulls(batch.num_rows, pa.binary())
-            yield pa.record_batch({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "node": pa.array(nodes, pa.int64()), "n": pa.array(counts), "sketch": empty})
+            yield pa.record_batch({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "node": pa.array(nodes, pa.int64()), "n": pa.array(counts), "vector": empty})
         one = pa.nulls(1, pa.int64())
-        raw = pa.array([sketch.astype(np.uint32).tobytes()], pa.binary())
-        yield pa.record_batch({"row": one, "doc_id": one, "node": one, "n": one, "sketch": raw})
+        yield pa.record_batch({"row": one, "doc_id": one, "node": one, "n": one, "vector": vector_row(sketch).column(0)})
 
     return task
 
 
-def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SKETCH, np.int64)
-    for batch in parts:
-        for raw in batch.column("sketch"):
-            total += np.frombuffer(raw.as_py(), np.uint32 if len(raw.as_py()) == 4 * SKETCH else np.int64)
-    yield pa.record_batch({"sketch": pa.array([total.tobytes()], pa.binary())})
-
-
-def all_counts(sketches: DataFrame, tasks: int = 16) -> np.ndarray:
-    """The sum of the tasks' sketches: 2 MB, whatever the data."""
-    part = mapped(sketches.select("sketch").repartition(tasks), summed, "sketch binary")
-    rows = [np.frombuffer(r["sketch"], np.int64) for r in part.toLocalIterator()]
-    return np.sum(rows, axis=0) if rows else np.zeros(SKETCH, np.int64)
-
-
 def ordered(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Shingles by the order of columns: those counted more often than is usual come last, by how often."""
     usual = 2 * counts.mean() + 64
@@ -226,11 +210,11 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    schema = "row long, doc_id long, node long, n long, sketch binary"
+    schema = "row long, doc_id long, node long, n long, vector binary"
     seen = staged(mapped(docs, profiles(size), schema), "profiles")
-    rows = seen.where("sketch is null").drop("sketch")
+    rows = seen.where("vector IS NULL").drop("vector")
     total = rows.count()
-    counts = spark.sparkContext.broadcast(all_counts(seen.where("sketch is not null")))
+    counts = spark.sparkContext.broadcast(vector_sum(seen.where("vector IS NOT NULL"), SKETCH))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("n_key"))
     nodes = staged(nodes, "nodes")
 

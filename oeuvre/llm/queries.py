@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oeuvre.llm import jaccard, mixing, oracle, quality, secrets, substring
+from oeuvre.llm import jaccard, language, mixing, oracle, quality, secrets, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": language.query,
         "op4_secret_scan": secrets.query,
         "op5_quality_classifier": quality.query,
         "op6_mix_sources": mixing.query,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -112,3 +113,24 @@ def lookup(rows: DataFrame, found: DataFrame, key: str, spread: Column, total: i
     out = out.join(rest, (F.col("_key") == F.col("_rest")) & (F.col("_is_off") == F.col("_off")), "left")
     both = [F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in values]
     return out.select(*rows.columns, *both)
+
+
+def vector_row(values: np.ndarray) -> pa.RecordBatch:
+    """One row with a vector, for `vector_sum`."""
+    return pa.record_batch({"vector": pa.array([values.astype(np.int64).tobytes()], pa.binary())})
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for raw in batch.column("vector"):
+            own = np.frombuffer(raw.as_py(), np.int64)
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        yield vector_row(total)
+
+
+def vector_sum(vectors: DataFrame, length: int, parts: int = 16) -> np.ndarray:
+    """The sum of the vectors of all tasks. `parts` rows of fixed length come to the driver, one after another."""
+    rows = mapped(vectors.select("vector").repartition(parts), _summed, "vector binary").toLocalIterator()
+    return sum((np.frombuffer(r["vector"], np.int64) for r in rows), np.zeros(length, np.int64))
