@@ -84,7 +84,8 @@ FROM docs LEFT JOIN each USING (row)
 MIXING = rf"""
 WITH marks AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 docs AS (
-    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
         CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS weight,
         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
     FROM documents LEFT JOIN marks USING (doc_id)
@@ -120,7 +121,17 @@ SELECT doc_id, size, s::BIGINT AS source_size, target::DOUBLE AS target,
 FROM ranked
 """
 
+WARC = """
+WITH docs AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+first AS (SELECT b, min(page_id) AS least FROM docs WHERE octet_length(b) >= 100 GROUP BY b)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest,
+    CASE WHEN least <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN least <> page_id THEN least END AS refers_to
+FROM docs LEFT JOIN first USING (b)
+"""
+
 SQL = {
+    "op9_warc_round_trip": WARC,
     "op4_secret_scan": SECRETS,
     "op6_mix_sources": MIXING,
     "op8_ngram_jaccard_join": JACCARD,

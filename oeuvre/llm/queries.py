@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oeuvre.llm import jaccard, language, mixing, oracle, quality, secrets, substring
+from oeuvre.llm import jaccard, language, mixing, oracle, quality, secrets, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": quality.query,
         "op6_mix_sources": mixing.query,
         "op8_ngram_jaccard_join": jaccard.query,
+        "op9_warc_round_trip": warc.query,
         "op10_substring_dedup": substring.query,
     }
 
