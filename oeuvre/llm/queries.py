@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oeuvre.llm import jaccard, language, mixing, oracle, quality, secrets, substring, warc
+from oeuvre.llm import jaccard, language, mixing, oracle, quality, secrets, substring, templates, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": templates.query,
         "op2_language_id": language.query,
         "op4_secret_scan": secrets.query,
         "op5_quality_classifier": quality.query,
