@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from oeuvre.llm import words as w
 from oeuvre.llm.graph import components
-from oeuvre.llm.shared import bit_map, in_map, lookup, mapped, signed, staged, vector_row, vector_sum
+from oeuvre.llm.shared import bit_map, in_map, lookup, mapped, packed, signed, staged, vector_row, vector_sum
 
 SIZE = 5
 PERCENT = 75
@@ -206,7 +206,7 @@ def can_link(percent: int):
 
 
 def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of each document."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), row (a hash of id and text) of each document."""
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
@@ -248,10 +248,22 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
     known = staged(known.where("n_key > 1 or root <> node").unionByName(known.where("n_key = 1 and root = node").join(found.select("node"), "node", "left_semi")), "known")
     least = known.groupBy("root").agg(F.min("least_id").alias("component"))
     known = staged(known.join(least, "root").select("node", "n_key", "component"), "known")
-    out = lookup(rows.select("doc_id", "n", "node"), known, "node", F.xxhash64("doc_id", "n"), total)
+    out = lookup(rows.select("doc_id", "n", "node", "row"), known, "node", F.xxhash64("doc_id", "n"), total)
     named = F.coalesce("component", "doc_id").cast(kind).alias("component_id")
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), named)
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), named, "row")
+
+
+def one_of_each(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The documents whose doc_id is that of their component, one of each. Of equal rows one stays; rows of different texts that
+    share that doc_id all stay, as do those of a component without a doc_id."""
+    found = staged(classes(documents, size, percent), "classes")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("_times"))
+    stay = staged(stay, "stay")
+    out = packed(documents, _row=F.xxhash64("doc_id", "text")).join(stay, "_row")
+    once, more = out.where("_times = 1"), out.where("_times > 1").dropDuplicates(["_row"])
+    out = once if stay.where("_times > 1").isEmpty() else once.unionByName(more)
+    return out.select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from oeuvre.llm import licences
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -130,7 +132,34 @@ SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_d
 FROM docs LEFT JOIN first USING (b)
 """
 
+KNOWN = ", ".join(f"('{licences.normal(s)}', '{i}')" for i, s in licences.SENTENCES.items())
+RULES = ", ".join(f"('{name}', '{licences.rule_pattern(ids)}')" for name, ids in licences.RULES)
+
+LICENCES = rf"""
+WITH known(sentence, id) AS (VALUES {KNOWN}),
+rules(name, pattern) AS (VALUES {RULES}),
+docs AS (SELECT row_number() OVER () AS row, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+cuts AS (
+    SELECT row, 0 AS cut, string_split_regex(t, '[.!?:]+[\s]+|[\r\n]+') AS parts FROM docs
+    UNION ALL SELECT row, 1, string_split_regex(t, '[.!?:]+[\s]+') FROM docs WHERE contains(t, chr(10))
+),
+each AS (SELECT row, cut, unnest(range(1, len(parts) + 1)) AS place, unnest(parts) AS part FROM cuts),
+found AS (
+    SELECT row, cut, ',' || string_agg(id, ',' ORDER BY place, id) || ',' AS ids
+    FROM each JOIN known ON trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) = sentence GROUP BY row, cut
+),
+named AS (SELECT DISTINCT row, name FROM found JOIN rules ON regexp_matches(ids, pattern)),
+names AS (
+    SELECT row, string_agg(name, ',' ORDER BY name) AS licences FROM named
+    WHERE name <> 'BSD-2-Clause' OR row NOT IN (SELECT row FROM named WHERE name = 'BSD-3-Clause') GROUP BY row
+),
+longest AS (SELECT row, arg_max(trim(ids, ','), length(ids) * 2 - cut) AS sentences FROM found GROUP BY row)
+SELECT doc_id, coalesce(licences, '') AS licences, sentences
+FROM longest JOIN docs USING (row) LEFT JOIN names USING (row)
+"""
+
 SQL = {
+    "op3_licence_scan": LICENCES,
     "op9_warc_round_trip": WARC,
     "op4_secret_scan": SECRETS,
     "op6_mix_sources": MIXING,

@@ -205,5 +205,18 @@ def classify(documents: DataFrame, labels: DataFrame, modulus: int = 4, held: in
     return scored(stats, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+def accepted(documents: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
+    """The documents with a score of `ACCEPT` or more, by a model of their labels."""
+    stats = stats_of(documents.where(~F.coalesce(remainder(modulus) == held, F.lit(False))))
+    model = fit(stats, labels)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.scores(statistics(piece)) for piece in w.pieces(batch.column("text"))]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *found]) >= ACCEPT))
+
+    return mapped(documents, task, documents.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oeuvre.llm import jaccard, language, mixing, oracle, quality, secrets, substring, templates, warc
+from oeuvre.llm import jaccard, language, licences, mixing, oracle, quality, secrets, substring, templates, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": templates.query,
         "op2_language_id": language.query,
+        "op3_licence_scan": licences.query,
         "op4_secret_scan": secrets.query,
         "op5_quality_classifier": quality.query,
         "op6_mix_sources": mixing.query,
+        "op7_embedding_dedup": vectors.query,
         "op8_ngram_jaccard_join": jaccard.query,
         "op9_warc_round_trip": warc.query,
         "op10_substring_dedup": substring.query,

@@ -16,7 +16,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oeuvre.llm.shared import lookup, staged
+from oeuvre.llm.shared import lookup, packed, staged
 
 # Kind, pattern (leftmost matches that don't overlap), the group whose length counts, its least length.
 RULES = [
@@ -88,12 +88,12 @@ def without_secrets(documents: DataFrame, ledger: DataFrame | None = None, rules
     """The documents whose text has no finding."""
     new = staged(update(documents, ledger, rules), "ledger")
     all_rows = new if ledger is None else ledger.unionByName(new)
-    docs = documents.withColumn("_blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    docs = packed(documents, _blob=F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     times = docs.groupBy("_blob").agg(F.count("*").alias("n_key"))
     known = all_rows.where((F.col("rules") == rule_version(rules)) & (F.size("spans") > 0))
     known = staged(known.select(F.col("blob").alias("_blob"), F.lit(True).alias("_found")).join(times, "_blob"), "found")
-    out = lookup(docs, known, "_blob", F.xxhash64("doc_id"), docs.count())
-    return out.where("_found IS NULL").select(*documents.columns)
+    out = lookup(docs, known, "_blob", F.xxhash64("doc.doc_id"), docs.count())
+    return out.where("_found IS NULL").select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

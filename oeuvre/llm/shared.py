@@ -58,6 +58,11 @@ def staged(df: DataFrame, what: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """Keys and, as one column `doc`, the whole row: no column of the input can clash with a key."""
+    return df.select(F.struct("*").alias("doc"), *[c.alias(k) for k, c in keys.items()])
+
+
 def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oeuvre.llm import words as w
-from oeuvre.llm.shared import bit_map, in_map, mapped, signed, staged
+from oeuvre.llm.shared import bit_map, in_map, mapped, packed, signed, staged
 
 WIDTH = 8
 LITERAL = 4
@@ -196,8 +196,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item leaked into."""
-    found = leaks(documents, benchmark).select(F.col("row").alias("_row")).distinct()
-    return documents.withColumn("_row", F.xxhash64("doc_id", "text")).join(found, "_row", "left_anti").select(*documents.columns)
+    found = staged(leaks(documents, benchmark).select(F.col("row").alias("_row")).distinct(), "leaks")
+    return packed(documents, _row=F.xxhash64("doc_id", "text")).join(found, "_row", "left_anti").select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
