@@ -105,7 +105,8 @@ def lookup_join(
 
     Rows of heavy keys take their lookup rows from a broadcast.  Together with
     rows that have a null key they go through the shuffle without a key, by a hash
-    of the whole row, which spreads them; the others go by a hash of their key.
+    of the whole row, which spreads them; the others go by their key.  Keys are
+    compared as in any join, so those of different types meet where they are equal.
     That suits tables with an id, and chains of lookups, in which ``split_join``
     would evaluate its input once more for each step.  ``count`` names a cheaper
     table to count the keys in; ``hot_rows=None`` says that no key but null can
@@ -124,8 +125,8 @@ def lookup_join(
         done, found = F.col("_heavy").isNotNull() | ~known, F.coalesce("_heavy", "_light")
     unhashable = (T.MapType, T.VariantType)
     hashable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, unhashable)]
-    token = F.when(done, F.xxhash64(*hashable)).otherwise(F.xxhash64(*keys))
+    token = F.when(done, F.xxhash64(*hashable)).otherwise(F.lit(0).cast("bigint"))
     first = first.withColumns({"_token": token, **{f"_to_{k}": F.when(~done, F.col(k)) for k in keys}})
-    second = payload.withColumn("_token", F.xxhash64(*keys)).withColumnsRenamed({k: f"_to_{k}" for k in keys})
+    second = payload.withColumn("_token", F.lit(0).cast("bigint")).withColumnsRenamed({k: f"_to_{k}" for k in keys})
     joined = first.join(second, ["_token", *[f"_to_{k}" for k in keys]], "left")
     return joined.select(*rows.columns, *[found[c].alias(c) for c in extra])

@@ -131,3 +131,13 @@ def test_analytics_take_both_routes(spark, name):
     for a, b in zip(plain, split):
         for x, y in zip(a, b):
             assert x == pytest.approx(y, rel=1e-9) if isinstance(x, float) else x == y
+
+
+@pytest.mark.parametrize("hot_rows", [2, 1000, None])
+@pytest.mark.parametrize("left, right", [("int", "bigint"), ("bigint", "string"), ("string", "int"), ("decimal(12,0)", "bigint")])
+def test_lookup_join_of_different_key_types(spark, hot_rows, left, right):
+    df = spark.range(40).selectExpr(f"CAST(nullif(id % 8, 7) AS {left}) AS k", "id")
+    lookup = spark.range(6).selectExpr(f"CAST(id AS {right}) AS k", "id * 10 AS v")
+    found = lookup_join(df, lookup, "k", hot_rows=hot_rows)
+    wanted = df.alias("a").join(lookup.alias("b"), F.expr("a.k = b.k"), "left").selectExpr("a.id", "b.v")
+    assert rows(found, "id", "v") == rows(wanted) and found.filter("v IS NOT NULL").count() == 30
