@@ -16,7 +16,6 @@ from oeuvre.functions import columns as fn
 from oeuvre.operators import authorship, coverage, enrich, gender, growth, open_access, prestige, quantiles, sample
 from oeuvre.operators import relations as rel
 from oeuvre.operators import shares
-from oeuvre.operators.lineage import written
 from oeuvre.operators.skew import split_join
 from oeuvre.sources import files, records
 from oeuvre.sources.schemas import INSTITUTION
@@ -358,7 +357,7 @@ def quintile_baseline(t):
 @query
 def quartile_bins(t):
     rows = authorship.papers_with_authors(t.papers.select("paperid", "year"), t.authors)
-    output = written(shares.count_by(rows, "year", "affiliationid"))
+    output = shares.count_by(rows, "year", "affiliationid")
     binned = output.withColumn("bin", F.col("n"))
     return quantiles.quantile_bins(binned, "bin", "year", quantiles.QUARTILES)
 

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oeuvre.functions.columns import correlation, correlation_text, last_year, number
-from oeuvre.operators.lineage import written
-from oeuvre.operators.quantiles import QUINTILES, box_stats_log10, quantile_bins
+from oeuvre.functions.columns import clean, correlation, correlation_text, last_year, number
+from oeuvre.operators.quantiles import QUINTILES, bin_label, box_stats_log10, counted_breaks
 from oeuvre.operators.relations import left_join
 from oeuvre.operators.shares import proportions
 from oeuvre.operators.skew import HOT_ROWS, lookup_join
@@ -70,7 +69,7 @@ def inclusion_stats(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Box statistics of ranked and unranked institutions by label and measure."""
-    rows = written(inclusion_rows(matched, year, merge_labels).select(label, "indicator", "in_ranking", "value"))
+    rows = inclusion_rows(matched, year, merge_labels).select(label, "indicator", "in_ranking", "value")
     return box_stats_log10(rows, "value", [label, "indicator", "in_ranking"], hot_rows)
 
 
@@ -92,15 +91,21 @@ def prestige_bins(
     matched: DataFrame,
     columns: Sequence[str] = RANKING_NUMBERS,
     labels: Sequence[str] = QUINTILES,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Ranked rows with prestige measures as quantile bins of their period.
 
     The breaks are those of the matched rows, so a university counts once for
-    every institution, year and label it is matched to.
+    every institution, year and label it is matched to.  The breaks come from
+    counts of the ranking's values, one row a period; only these meet the rows,
+    which stay where they are.
     """
-    ranked = written(matched.filter(F.col("P_top10").isNotNull()))
-    return quantile_bins(ranked, list(columns), "Period", labels, hot_rows=hot_rows)
+    ranked = matched.filter(F.col("P_top10").isNotNull())
+    cells = ranked.groupBy("Period", *columns).agg(F.count("*").alias("_copies"))
+    for column in columns:
+        breaks = counted_breaks(cells, column, "_copies", "Period", len(labels))
+        ranked = left_join(ranked, breaks, "Period", null_keys="match")
+        ranked = ranked.withColumn(column, bin_label(clean(column), F.col("_breaks"), labels)).drop("_breaks")
+    return ranked
 
 
 def bin_shares(
@@ -109,17 +114,24 @@ def bin_shares(
     column: str = "P_top10",
     value: str = "n_frac_papers",
     labels: Sequence[str] = QUINTILES,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Share of output that falls to each prestige bin."""
-    needed = matched.select(*dict.fromkeys([*keys, "Period", "P_top10", column, value]))
-    return proportions(prestige_bins(needed, [column], labels, hot_rows), column, value, *keys)
+    """Share of output that falls to each prestige bin.
+
+    Rows are summed by keys, period and value of the ranking first: those cells
+    give both the breaks and, once labelled, the shares.
+    """
+    ranked = matched.filter(F.col("P_top10").isNotNull())
+    by = dict.fromkeys([*keys, "Period", column])
+    cells = ranked.groupBy(*by).agg(F.sum(value).alias("_sum"), F.count("*").alias("_copies"))
+    cells = left_join(cells, counted_breaks(cells, column, "_copies", "Period", len(labels)), "Period", null_keys="match")
+    cells = cells.withColumn(column, bin_label(clean(column), F.col("_breaks"), labels))
+    return proportions(cells, column, "_sum", *keys)
 
 
 def bin_shares_with_baseline(
-    matched: DataFrame, corpus: DataFrame, label: str = "SDG_label", hot_rows: int = HOT_ROWS
+    matched: DataFrame, corpus: DataFrame, label: str = "SDG_label"
 ) -> DataFrame:
     """Bin shares of each label and of the corpus, told apart by ``series``."""
-    sample = bin_shares(matched, label, "year", hot_rows=hot_rows).withColumn("series", F.lit("sample"))
-    base = bin_shares(corpus, "year", hot_rows=hot_rows).withColumn("series", F.lit("baseline"))
+    sample = bin_shares(matched, label, "year").withColumn("series", F.lit("sample"))
+    base = bin_shares(corpus, "year").withColumn("series", F.lit("baseline"))
     return sample.unionByName(base, allowMissingColumns=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oeuvre.functions.columns import clean
@@ -39,6 +39,9 @@ def exact_quantiles(
     and do not enter the result.
     """
     by = names(by)
+    if not by:
+        whole = exact_quantiles(df.withColumn("_whole", F.lit(1)), value, "_whole", probs, name, hot_rows, accuracy)
+        return whole.drop("_whole")
     data = df.select(*by, clean(value).alias("_v")).filter(F.col("_v").isNotNull())
     counted = data.groupBy(*by, "_v").agg(F.count("*").alias("_copies"))
     sizes = counted.groupBy(*by).agg(F.count("*").alias("_distinct"), F.sum("_copies").alias("_n"))
@@ -107,6 +110,26 @@ def attach_groups(
     return light.drop(*ids).unionByName(rest.drop(*ids))
 
 
+def bin_label(value: Column, breaks: Column, labels: Sequence[str], strict: bool = False) -> Column:
+    """The lowest bin that a value fits, given the breaks between them as an array."""
+    label = None
+    for i, text in enumerate(labels):
+        fits = value <= breaks[i + 1]
+        label = F.when(fits, text) if label is None else label.when(fits, text)
+    if strict:
+        tied = F.size(F.array_distinct(breaks)) < F.size(breaks)
+        label = F.when(tied, F.raise_error(F.lit("quantile breaks are not unique"))).otherwise(label)
+    return label
+
+
+def counted_breaks(cells: DataFrame, value: str, copies: str, by: str, bins: int, name: str = "_breaks") -> DataFrame:
+    """Breaks of equal bins in each group, from its distinct values and how often each occurs."""
+    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    known = cells.select(by, clean(value).alias("_v"), copies).filter(F.col("_v").isNotNull())
+    counted = known.groupBy(by, "_v").agg(F.sum(copies).alias("_copies"))
+    return counted.groupBy(by).agg(F.percentile("_v", points, F.col("_copies")).alias(name))
+
+
 def quantile_bins(
     df: DataFrame,
     columns: str | Sequence[str],
@@ -120,7 +143,7 @@ def quantile_bins(
     The bins split the range into ``len(labels)`` equal parts of probability.
     They are closed on the right, and the first one on the left too.  A value on
     tied breaks takes the lowest bin it fits; ``strict`` fails on ties instead.
-    ``df`` is read several times, so it should be a table that was written.
+    ``df`` is read several times.
     """
     probs = [i / len(labels) for i in range(len(labels) + 1)]
     columns = names(columns)
@@ -132,13 +155,7 @@ def quantile_bins(
     )
     df = attach_groups(df, wide, by, hot_rows)
     for c in columns:
-        at, value, label = F.col(f"_breaks_{c}"), clean(c), None
-        for i, text in enumerate(labels):
-            fits = value <= at[i + 1]
-            label = F.when(fits, text) if label is None else label.when(fits, text)
-        if strict:
-            tied = F.size(F.array_distinct(at)) < F.size(at)
-            label = F.when(tied, F.raise_error(F.lit("quantile breaks are not unique"))).otherwise(label)
+        label = bin_label(clean(c), F.col(f"_breaks_{c}"), labels, strict)
         df = df.withColumn(c, label).drop(f"_breaks_{c}")
     return df
 
@@ -153,21 +170,22 @@ def box_stats_log10(
     and ``outliers`` lie beyond.
     """
     by = names(by)
-    df = df.withColumn("_log", F.log10(F.when(clean(value) > 0, clean(value))))
+    df = df.select(*by, F.log10(F.when(clean(value) > 0, clean(value))).alias("_log"))
     boxes = exact_quantiles(df, "_log", by, [0.25, 0.5, 0.75], "_box", hot_rows)
+    df = df.groupBy(*by, "_log").agg(F.count("*").alias("_copies"))
     q1, q3 = F.col("_box")[0], F.col("_box")[2]
     reach = 1.5 * (q3 - q1)
     fits = F.col("_log").between(q1 - reach, q3 + reach)
     placed = attach_groups(df, boxes, by, hot_rows)
     return placed.groupBy(*by).agg(
-        F.count("_log").alias("n"),
-        F.count_if(F.col("_log").isNull()).alias("removed"),
+        F.sum(F.when(F.col("_log").isNotNull(), F.col("_copies")).otherwise(0)).alias("n"),
+        F.sum(F.when(F.col("_log").isNull(), F.col("_copies")).otherwise(0)).alias("removed"),
         F.max(F.col("_box")[0]).alias("q1"),
         F.max(F.col("_box")[1]).alias("median"),
         F.max(F.col("_box")[2]).alias("q3"),
         F.min(F.when(fits, F.col("_log"))).alias("lower"),
         F.max(F.when(fits, F.col("_log"))).alias("upper"),
-        F.count_if(~fits).alias("outliers"),
+        F.sum(F.when(~fits, F.col("_copies")).otherwise(0)).alias("outliers"),
     )
 
 

@@ -39,10 +39,14 @@ def share_of_total(
     """Each cell's part of the sum over ``within``, optionally with that sum.
 
     ``cells`` is a finished aggregate with one row per cell, so a partition holds
-    as many rows as there are cells in a report group.
+    as many rows as there are cells in a report group.  A total over all cells is
+    a scalar subquery.
     """
-    window = Window.partitionBy(*names(within))
-    cells = cells.withColumn("_total", F.sum(value).over(window))
+    within = names(within)
+    if within:
+        cells = cells.withColumn("_total", F.sum(value).over(Window.partitionBy(*within)))
+    else:
+        cells = cells.withColumn("_total", cells.agg(F.sum(value)).scalar())
     cells = cells.withColumn(name, ratio(value, "_total"))
     return cells.withColumnRenamed("_total", total) if total else cells.drop("_total")
 

@@ -127,6 +127,8 @@ def lookup_join(
     hashable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, unhashable)]
     token = F.when(done, F.xxhash64(*hashable)).otherwise(F.lit(0).cast("bigint"))
     first = first.withColumns({"_token": token, **{f"_to_{k}": F.when(~done, F.col(k)) for k in keys}})
-    second = payload.withColumn("_token", F.lit(0).cast("bigint")).withColumnsRenamed({k: f"_to_{k}" for k in keys})
+    # Zero, but not to the optimizer, which would take a constant out of the join's keys.
+    zero = F.xxhash64(*keys).bitwiseAND(F.lit(0))
+    second = payload.withColumn("_token", zero).withColumnsRenamed({k: f"_to_{k}" for k in keys})
     joined = first.join(second, ["_token", *[f"_to_{k}" for k in keys]], "left")
     return joined.select(*rows.columns, *[found[c].alias(c) for c in extra])

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oeuvre.operators import authorship, coverage, enrich, gender, growth, open_access, prestige, relations, sample, shares
-from oeuvre.operators.lineage import written
 from oeuvre.sources import files, records, schemas
 
 
@@ -163,7 +162,7 @@ class Paths:
 
 def read_inputs(spark: SparkSession, paths: Paths) -> Inputs:
     """Open every input in its format.  Key and country files use ``;`` between columns."""
-    table = lambda path, schema, options=files.HEADER: files.delimited(spark, path, options, schema)
+    table = lambda path, schema, options=files.HEADER, names=None: files.delimited(spark, path, options, schema, names)
     key = files.european(spark, paths.ranking_key, ["affiliationid"])
     key = key.select(F.col("affiliationid").cast("bigint").alias("affiliationid"), "University")
     return Inputs(
@@ -174,8 +173,8 @@ def read_inputs(spark: SparkSession, paths: Paths) -> Inputs:
         corpus_authors=files.tabs(spark, paths.corpus_authors, schemas.AUTHORS),
         affiliations=table(paths.affiliations, schemas.AFFILIATIONS, files.NULL_TOKEN),
         extra_countries=spark.read.parquet(paths.extra_countries).select("affiliationid", "country"),
-        countries=table(paths.countries, schemas.COUNTRIES, files.SEMICOLON),
-        incomes=table(paths.incomes, schemas.INCOME_COUNTRIES),
+        countries=table(paths.countries, schemas.COUNTRIES, files.SEMICOLON, schemas.COUNTRY_HEADER),
+        incomes=table(paths.incomes, schemas.INCOME_COUNTRIES, files.HEADER, schemas.INCOME_HEADER),
         ranking=table(paths.ranking, schemas.RANKING),
         ranking_key=key,
         indicators=table(paths.indicators, schemas.INDICATORS),
@@ -185,32 +184,43 @@ def read_inputs(spark: SparkSession, paths: Paths) -> Inputs:
 
 def report(
     tables: Inputs,
+    out: str,
     years: tuple[int, int] = (2006, 2019),
     open_years: tuple[int, int] = (2015, 2018),
     year: int = 2018,
     codes: Sequence[str] = ("NY.GDP.PCAP.KD",),
     least: float = 50.0,
 ) -> dict[str, DataFrame]:
-    """Every table of the analysis.  Counts by country and output beside rankings
-    are written once, as several tables start from them; the rest is computed when
-    it is used."""
+    """Every table of the analysis, written below ``out``/report and read from there.
+
+    The needed columns of the corpus, which comes as text, counts by country and
+    output beside rankings are written once, as several tables start from them.
+    """
+    stage = lambda df, name: _stage(df, f"{out}/stages/{name}")
     label, country = "SDG_label", {"country": "country_code"}
     papers = tables.papers.filter(F.col("year") <= years[1]).join(tables.labels, "paperid")
-    corpus = tables.corpus.filter(F.col("year").between(*years))
+    columns = [c for c in ("paperid", "year", "citationcount", "is_oa", "citations_norm") if c in tables.corpus.columns]
+    corpus = stage(tables.corpus.select(*columns).filter(F.col("year").between(*years)), "corpus")
+    authors = stage(tables.corpus_authors.select("paperid", "authorid", "affiliationid", "authorsequencenumber"), "corpus_authors")
     filled = relations.backfill(tables.affiliations, tables.extra_countries, "affiliationid", "country")
 
     counts = shares.count_by(papers, label, "year")
     trend = shares.share_of_baseline(counts, shares.count_by(corpus, "year", name="overall_n"), "year")
     label_rows = papers.select("paperid", label, "year")
-    by_label = written(authorship.country_counts(label_rows, tables.authors, tables.affiliations, "year", label))
-    by_year = written(authorship.country_counts(corpus.select("paperid", "year"), tables.corpus_authors, filled, "year"))
+    by_label = stage(authorship.country_counts(label_rows, tables.authors, tables.affiliations, "year", label), "by_label")
+    by_year = stage(authorship.country_counts(corpus.select("paperid", "year"), authors, filled, "year"), "by_year")
     found = {
+        "sample_size": shares.row_count(papers.select("paperid").distinct()),
         "label_counts": shares.count_by(papers, label),
+        "label_years": shares.count_by(papers.filter(F.col("year").isin(*years)), "year", label),
+        "country_positions": authorship.country_counts(
+            label_rows, tables.authors, tables.affiliations, "year", label, "author_position"
+        ),
         "growth": growth.yearly_growth(trend, "prop", label),
         "compound_growth": growth.compound_growth(trend, {"overall_n": "overall", "n": "individual"}, label, *years),
         "institutions": authorship.institutions_by_output(papers, tables.authors, tables.affiliations),
         "open_share": open_access.open_share(papers, label, "year"),
-        "coverage": coverage.coverage(coverage.seen_affiliations(tables.corpus_authors, tables.affiliations), "country"),
+        "coverage": coverage.coverage(coverage.seen_affiliations(authors, tables.affiliations), "country"),
     }
     incomes = tables.incomes.select("country_code", "region", "short_name", "income_group")
     for name, groups, group in (("region", tables.countries, "sub_continent"), ("income", incomes, "income_group")):
@@ -225,9 +235,9 @@ def report(
             found[name] = gender.gender_share(papers, tables.authors, tables.people, *keys, before=years[1] + 1)
 
     output = authorship.fractional_productivity(papers, tables.authors)
-    corpus_output = authorship.fractional_corpus(corpus, tables.corpus_authors)
+    corpus_output = authorship.fractional_corpus(corpus, authors)
     ranking = prestige.clean_ranking(tables.ranking)
-    matched = written(prestige.match_prestige(output, tables.ranking_key, ranking))
+    matched = stage(prestige.match_prestige(output, tables.ranking_key, ranking), "matched")
     matched_corpus = prestige.match_prestige(corpus_output, tables.ranking_key, ranking)
     found["inclusion"] = prestige.inclusion_stats(matched, year, merge_labels=True)
     found["prestige_correlation"] = prestige.prestige_correlation(matched, year)
@@ -238,4 +248,4 @@ def report(
     for name, keys in (("open_indicator", ()), ("open_indicator_label", (label,))):
         open_rows = open_access.open_by_country(papers, tables.authors, tables.affiliations, open_years, *keys)
         found[name] = open_access.pair_indicator(open_rows, tables.indicators, codes, open_years, proper, least)
-    return found
+    return {name: _stage(df, f"{out}/report/{name}") for name, df in found.items()}

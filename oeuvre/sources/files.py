@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oeuvre.functions.columns import european_number
 
@@ -27,11 +29,34 @@ def parquet(spark: SparkSession, path: str, *columns: str, schema: str | None =
 
 
 def delimited(
-    spark: SparkSession, path: str, options: dict[str, str] = HEADER, schema: str | None = None
+    spark: SparkSession,
+    path: str,
+    options: dict[str, str] = HEADER,
+    schema: str | None = None,
+    renames: dict[str, str] | None = None,
 ) -> DataFrame:
-    """A delimited file; without a schema every column is text."""
+    """A delimited file; without a schema every column is text.
+
+    With a header, the columns of the schema are found by name, after ``renames``
+    from the names of the file to those of the schema.  Others are not read, a
+    value that does not fit its type is null, and an absent column is an error.
+    Without a header the schema names the columns in their order.
+    """
     reader = spark.read.options(**options)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    if schema and options.get("header") != "true":
+        return reader.schema(schema).csv(path)
+    text = reader.csv(path)
+    text = text.withColumnsRenamed({k: v for k, v in (renames or {}).items() if k in text.columns})
+    return typed(text, schema) if schema else text
+
+
+def typed(text: DataFrame, schema: str) -> DataFrame:
+    """The columns of a schema from a table of text that has them in any order."""
+    wanted = T.StructType.fromDDL(schema)
+    absent = [c for c in wanted.names if c not in text.columns]
+    if absent:
+        raise ValueError(f"columns not in the header: {absent}")
+    return text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def european(spark: SparkSession, path: str, numbers: Sequence[str] = ()) -> DataFrame:

@@ -37,8 +37,24 @@ AFFILIATIONS = """affiliationid bigint, rank int, normalizedname string, display
 
 AFFILIATION_COUNTRIES = "affiliationid bigint, country_code string, Alpha3 string"
 COUNTRIES = "country_code string, country_name string, continent string, sub_continent string"
-INCOME_COUNTRIES = """country_code string, region string, name string, income_group string,
-    currency_unit string, short_name string"""
+INCOME_COUNTRIES = """country_code string, region string, short_name string, income_group string,
+    currency_unit string"""
+
+# Names in the headers of the country and income files.
+COUNTRY_HEADER = {
+    "ISO-alpha3 Code": "country_code",
+    "Country or Area": "country_name",
+    "Region Name": "continent",
+    "Sub-region Name": "sub_continent",
+}
+INCOME_HEADER = {
+    "Country Code": "country_code",
+    "Region": "region",
+    "Short Name": "short_name",
+    "Income Group": "income_group",
+    "Currency Unit": "currency_unit",
+}
+
 INDICATORS = """country_name string, country_code string, indicator_code string, indicator_name string,
     year int, value double"""
 RANKING = """University string, Country string, Period string, Field string, Frac_counting int,
@@ -48,7 +64,7 @@ AUTHOR_METADATA = "authorid bigint, gender string"
 COUNTRY_CODES = "Alpha2 string, Alpha3 string"
 OPEN_COUNTS = "year int, records array<struct<key_display_name: string, count: bigint>>"
 
-# Fields of an institution record.  Lists of records stay nested.
+# Fields of an institution record.  Lists of records stay nested.
 INSTITUTION = """id string, display_name string, display_name_alternatives array<string>,
     display_name_acronyms array<string>, display_name_international string, ror string, ids map<string, string>,
     country_code string, geo struct<city: string, region: string, country_code: string, country: string,

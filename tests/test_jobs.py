@@ -58,7 +58,7 @@ def test_enrich_sample(tables, enriched):
     assert collated.count() == collated.distinct().count()
 
 
-def test_report(tables, enriched):
+def test_report(spark, tables, enriched, tmp_path):
     _, found, collated = enriched
     inputs = jobs.Inputs(
         papers=tables.papers,
@@ -75,8 +75,8 @@ def test_report(tables, enriched):
         indicators=tables.indicators,
         people=tables.people,
     )
-    report = jobs.report(inputs, (1995, 2000), (1996, 1999), 1999, catalogue.SEGMENTS, 10.0)
-    assert len(report) == 19
+    report = jobs.report(inputs, str(tmp_path), (1995, 2000), (1996, 1999), 1999, catalogue.SEGMENTS, 10.0)
+    assert len(report) == 22
     for name, df in report.items():
         assert df.count() >= 0, name
     wanted = catalogue.yoy_growth(tables)
@@ -84,6 +84,8 @@ def test_report(tables, enriched):
     assert rows(growth) == rows(wanted)
     regions = report["region_specialisation"].withColumn("specialisation", F.round("specialisation", 6))
     keys = ["SDG_label", "year", "sub_continent", "specialisation"]
+    assert rows(spark.read.parquet(f"{tmp_path}/report/label_counts")) == rows(report["label_counts"])
+    assert report["sample_size"].first()[0] == tables.papers.filter("year <= 2000").join(tables.labels, "paperid", "left_semi").count()
     assert rows(regions.filter("year <= 2000"), *keys) == rows(catalogue.specialisation(tables).filter("year <= 2000"), *keys)
 
 
@@ -119,20 +121,21 @@ def test_report_from_files(spark, tables, enriched, tmp_path):
     corpus.write.options(**files.TABS).csv(f"{tmp_path}/corpus")
     tables.authors.selectExpr("*", "'' AS a", "'' AS b").write.options(**files.TABS).csv(f"{tmp_path}/authors")
     tables.affiliations.selectExpr(
-        "affiliationid", "rank", "'' AS n", "displayname", "'' AS g", "'' AS o", "'' AS w", "1 AS p", "1 AS c", "0.0D AS la",
-        "0.0D AS lo", "'' AS d", "country",
+        "country", "affiliationid", "rank", "'' AS normalizedname", "displayname", "'' AS gridid", "'' AS officialpage",
+        "'' AS wikipage", "1 AS papercount", "1 AS citationcount", "0.0D AS latitude", "0.0D AS longitude", "'' AS createddate",
     ).write.options(**files.NULL_TOKEN).csv(f"{tmp_path}/places")
     tables.second_source.selectExpr("affiliationid", "Alpha3 AS country").write.parquet(f"{tmp_path}/extra")
-    tables.countries.write.options(**files.SEMICOLON).csv(f"{tmp_path}/countries")
-    tables.incomes.selectExpr(
-        "country_code", "region", "short_name AS name", "income_group", "currency_unit", "short_name"
-    ).write.options(**files.HEADER).csv(f"{tmp_path}/incomes")
-    tables.ranking.write.options(**files.HEADER).csv(f"{tmp_path}/ranking")
+    raw = {v: k for k, v in schemas.COUNTRY_HEADER.items()}
+    countries = tables.countries.withColumnsRenamed(raw).withColumn("Global Code", F.lit(1))
+    countries.select("Global Code", *reversed(raw.values())).write.options(**files.SEMICOLON).csv(f"{tmp_path}/countries")
+    raw = {v: k for k, v in schemas.INCOME_HEADER.items()}
+    tables.incomes.select(*raw).withColumnsRenamed(raw).write.options(**files.HEADER).csv(f"{tmp_path}/incomes")
+    tables.ranking.select(*reversed(tables.ranking.columns)).write.options(**files.HEADER).csv(f"{tmp_path}/ranking")
     tables.ranking_key.write.options(**files.SEMICOLON).csv(f"{tmp_path}/key")
     tables.indicators.write.options(**files.HEADER).csv(f"{tmp_path}/indicators")
     names = ("corpus", "authors", "places", "extra", "countries", "incomes", "ranking", "key", "indicators")
     inputs = jobs.read_inputs(spark, jobs.Paths(f"{root}/out", *(f"{tmp_path}/{n}" for n in names)))
-    report = jobs.report(inputs, (1996, 2000), (1996, 1999), 1999, catalogue.SEGMENTS, 0.0)
+    report = jobs.report(inputs, f"{tmp_path}/tables", (1996, 2000), (1996, 1999), 1999, catalogue.SEGMENTS, 0.0)
     assert "gender" not in report
     counts = shares.count_by(catalogue.sample_labels(tables).join(tables.papers, "paperid"), "SDG_label", "year")
     got = report["growth"].select("SDG_label", "year", "n")

@@ -111,3 +111,15 @@ def test_rows_without_a_match_are_spread(spark, no_small_tables, hot_rows):
     assert max(r["count"] for r in counts if r.k is None) < 1500
     if hot_rows:
         assert max(r["count"] for r in counts if r.k == 7) < 1500
+
+
+def test_prestige_bins_are_built_without_a_job(spark):
+    tables = Tables(spark, FOLDER)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job may run")
+    try:
+        for name in ("quintile_share", "quintile_bins", "quintile_baseline", "quartile_bins", "ranked_boxstats"):
+            catalogue.QUERIES[name](tables)
+        assert not tracker.getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

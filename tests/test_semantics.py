@@ -385,3 +385,18 @@ def test_coverage_and_agreement(spark):
     assert rows(coverage.disagreements(seen, source), "affiliationid", "country", "Alpha3") == [(1, "AUT", "DEU")]
     assert rows(coverage.gap_file(seen, source), "affiliationid", "country") == [(2, "NAM"), (3, None), (None, None)]
 
+
+
+def test_share_of_all_cells(spark):
+    df = make(spark, "g string, n double", ("a", 1.0), ("b", 3.0), (None, 4.0))
+    found = shares.share_of_total(df, "n", [], total="all")
+    assert rows(found, "g", "share", "all") == rows(make(spark, "g string, s double, t double", ("a", 0.125, 8.0), ("b", 0.375, 8.0), (None, 0.5, 8.0)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_quantiles_of_a_whole_table(spark):
+    df = make(spark, "v double", *[(float(k),) for k in range(101)], (None,))
+    found = quantiles.exact_quantiles(df, "v", [], [0.1, 0.5])
+    assert found.columns == ["quantiles"] and found.first()[0] == [10.0, 50.0]
+    assert quantiles.exact_quantiles(df, "v", [], [0.1, 0.5], hot_rows=5, accuracy=10).first()[0] == [10.0, 50.0]
