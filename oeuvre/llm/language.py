@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oeuvre.llm import words as w
-from oeuvre.llm.shared import mapped, vector_row, vector_sum
+from oeuvre.llm.shared import mapped, staged, vector_row, vector_sum
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -224,7 +224,9 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model | None:
     sizes = sizes.withColumn("part", F.lit(sample) / F.count("*").over(Window.partitionBy()) / F.col("n")).select("lang", "part")
     at = F.xxhash64(F.lit("sample"), "doc_id")
     chance = F.pmod(at, F.lit(1 << 40)) / F.lit(float(1 << 40))
-    some = known.join(sizes, "lang").where(chance < F.col("part")).select("lang", at.alias("at"), "text")
+    picks = known.select("doc_id", "lang").join(sizes, "lang").where(chance < F.col("part"))
+    picks = staged(picks.select(at.alias("pick")).distinct(), "sample")  # about `sample` rows at most
+    some = known.withColumn("at", at).join(F.broadcast(picks), F.col("at") == F.col("pick"), "left_semi").select("lang", "at", "text")
     rows = mapped(some, counted, "lang string, at long, buckets array<int>, counts array<int>")
     return trained(rows.toArrow().to_pylist(), frequency)
 

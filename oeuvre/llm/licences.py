@@ -1,6 +1,6 @@
 """Licence scans by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences twice: at stops and line ends, and at stops alone, so that wrapped sentences are whole. Sentences
+A text is cut into sentences twice: at stops and line ends, and at stops and empty lines, so that wrapped sentences are whole. Sentences
 are normalised (lower case, anything but ASCII letters and digits is one blank) and joined with the known licence sentences; the table of
 these is fixed. The identifiers found, in order, are matched against rules: a rule holds if its identifiers occur in its
 order, with others between them or not.
@@ -69,8 +69,8 @@ RULES = [
 #: A longer rule that holds makes these shorter ones void.
 CONTAINS = {"BSD-3-Clause": ["BSD-2-Clause"]}
 
-LINES = r"[.!?:]+[\s]+|[\r\n]+"
-STOPS = r"[.!?:]+[\s]+"
+LINES = r"[.!?]+[\s]+|[\r\n]+"
+STOPS = r"[.!?]+[\s]+|:[ \t]*[\r\n]+|[\r\n][ \t]*[\r\n]+"
 
 
 def normal(sentence: str) -> str:

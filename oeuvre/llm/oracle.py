@@ -140,8 +140,8 @@ WITH known(sentence, id) AS (VALUES {KNOWN}),
 rules(name, pattern) AS (VALUES {RULES}),
 docs AS (SELECT row_number() OVER () AS row, doc_id, lower(coalesce(text, '')) AS t FROM documents),
 cuts AS (
-    SELECT row, 0 AS cut, string_split_regex(t, '[.!?:]+[\s]+|[\r\n]+') AS parts FROM docs
-    UNION ALL SELECT row, 1, string_split_regex(t, '[.!?:]+[\s]+') FROM docs WHERE contains(t, chr(10))
+    SELECT row, 0 AS cut, string_split_regex(t, '{licences.LINES}') AS parts FROM docs
+    UNION ALL SELECT row, 1, string_split_regex(t, '{licences.STOPS}') FROM docs WHERE contains(t, chr(10))
 ),
 each AS (SELECT row, cut, unnest(range(1, len(parts) + 1)) AS place, unnest(parts) AS part FROM cuts),
 found AS (
