@@ -10,14 +10,30 @@ from pyspark.sql import functions as F
 from oeuvre.operators.skew import every, names
 
 
-def unique_by(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """``df``, failing at run time if a key has more than one row."""
+REPEATED = "_more_than_one"
+
+
+def once_by(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """One row of ``df`` for each key, and whether there are more in ``REPEATED``."""
     keys = names(keys)
     rest = [c for c in df.columns if c not in keys]
     one = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(F.lit(1), *rest)).alias("_row"))
-    repeated = F.raise_error(F.concat(F.lit("more than one row for a key of "), F.lit(", ".join(keys))))
-    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(repeated)
-    return one.withColumn("_row", row).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+    return one.select(*keys, *[F.col("_row")[c].alias(c) for c in rest], (F.col("_n") > 1).alias(REPEATED))
+
+
+def checked(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of a join with ``once_by``, failing at run time on a repeated key.
+
+    The check is a filter above the join, so it also runs where later steps use
+    no column of the right side.
+    """
+    error = F.raise_error(F.lit(f"more than one row for a key of {', '.join(keys)}")).cast("boolean")
+    return df.filter(F.when(F.col(REPEATED), error).otherwise(F.lit(True))).drop(REPEATED)
+
+
+def unique_by(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """``df``, failing at run time if a key has more than one row."""
+    return checked(once_by(df, keys), names(keys))
 
 
 def left_join(
@@ -37,7 +53,7 @@ def left_join(
         raise ValueError(f"null_keys must be 'drop' or 'match', not {null_keys!r}")
     pairs = on if isinstance(on, dict) else {k: k for k in names(on)}
     if unique:
-        other = unique_by(other, list(pairs.values()))
+        other = once_by(other, list(pairs.values()))
     clash = set(df.columns) & set(other.columns) - set(pairs.values())
     if clash:
         raise ValueError(f"columns on both sides that are not keys: {sorted(clash)}")
@@ -45,6 +61,8 @@ def left_join(
     sides = [(F.col(left), F.col(f"_key_{i}")) for i, left in enumerate(pairs)]
     terms = [a.eqNullSafe(b) if null_keys == "match" else a == b for a, b in sides]
     joined = df.join(marked, every(terms), "left")
+    if unique:
+        joined = checked(joined, list(pairs.values()))
     return joined.drop(*[f"_key_{i}" for i in range(len(pairs))])
 
 

@@ -400,3 +400,10 @@ def test_quantiles_of_a_whole_table(spark):
     found = quantiles.exact_quantiles(df, "v", [], [0.1, 0.5])
     assert found.columns == ["quantiles"] and found.first()[0] == [10.0, 50.0]
     assert quantiles.exact_quantiles(df, "v", [], [0.1, 0.5], hot_rows=5, accuracy=10).first()[0] == [10.0, 50.0]
+
+
+def test_repeated_keys_fail_even_if_only_left_columns_are_used(spark):
+    left = make(spark, "k int, v int", (1, 1), (2, 2))
+    right = make(spark, "k int, w int", (1, 1), (1, 2), (2, 3))
+    with pytest.raises(FAILURE, match="more than one row"):
+        relations.left_join(left, right, "k", unique=True).select("k", "v").collect()
