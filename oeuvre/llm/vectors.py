@@ -34,6 +34,7 @@ LEAST = 0.98
 OVERLAP = 3
 SHARD = 500
 BLOCK = 2000
+CHUNK = 200
 SAMPLE = 16384
 CENTROIDS = 1024
 
@@ -129,25 +130,26 @@ def pruned(x: np.ndarray) -> np.ndarray:
     near = min(NEAR, m - 1)
     if near < 1:
         return np.full((m, 1), -1)
-    sims = x @ x.T
-    np.fill_diagonal(sims, -np.inf)
-    some = np.argpartition(-sims, near - 1, axis=1)[:, :near]
-    own = np.take_along_axis(sims, some, 1)
-    order = np.argsort(-own, axis=1, kind="stable")
-    some, far = np.take_along_axis(some, order, 1), 1 - np.take_along_axis(own, order, 1)
-    np.fill_diagonal(sims, 1.0)
-    left, rows = np.ones((m, near), bool), np.arange(m)
     kept = np.full((m, DEGREE), -1)
-    for r in range(DEGREE):
-        first = left.argmax(1)
-        has = left[rows, first]
-        if not has.any():
-            break
-        best = some[rows, first]
-        kept[has, r] = best[has]
-        between = 1 - sims[best[:, None], some]
-        left &= ~((SPREAD * between <= far) & has[:, None])
-        left[rows, first] = False
+    for first in range(0, m, CHUNK):
+        own = np.arange(first, min(first + CHUNK, m))
+        sims = x[own] @ x.T
+        sims[np.arange(len(own)), own] = -np.inf
+        some = np.argpartition(-sims, near - 1, axis=1)[:, :near]
+        far = 1 - np.take_along_axis(sims, some, 1)
+        order = np.argsort(far, axis=1, kind="stable")
+        some, far = np.take_along_axis(some, order, 1), np.take_along_axis(far, order, 1)
+        left, rows = np.ones((len(own), near), bool), np.arange(len(own))
+        for r in range(DEGREE):
+            at = left.argmax(1)
+            has = left[rows, at]
+            if not has.any():
+                break
+            best = some[rows, at]
+            kept[own[has], r] = best[has]
+            between = 1 - np.matmul(x[some], x[best][:, :, None])[:, :, 0]
+            left &= ~((SPREAD * between <= far) & has[:, None])
+            left[rows, at] = False
     return kept
 
 
@@ -161,6 +163,12 @@ def build(table: pa.Table) -> pa.Table:
 
 
 def searched(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`searched_some` for all queries, some at a time."""
+    found = [searched_some(x, adjacent, q[k : k + CHUNK], own[k : k + CHUNK]) for k in range(0, len(q), CHUNK)]
+    return np.concatenate([i + k * CHUNK for k, (i, _) in enumerate(found)]), np.concatenate([j for _, j in found])
+
+
+def searched_some(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The (query, node) pairs in range that the greedy search of each query finds. It begins at the medoid and, for queries
     that are nodes themselves, at their own place (`own`, else -1)."""
     m, n = len(x), len(q)
