@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -162,13 +163,27 @@ def build(table: pa.Table) -> pa.Table:
     return pa.table({"u": np.concatenate([ids[u], ids[v]]), "v": np.concatenate([ids[v], ids[u]])})
 
 
-def searched(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Lists:
+    """Adjacency lists one after another, and where each begins."""
+
+    bounds: np.ndarray
+    to: np.ndarray
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many neighbours each of some nodes has, and all of them."""
+        n = self.bounds[at + 1] - self.bounds[at]
+        before = np.cumsum(n) - n
+        return n, self.to[np.repeat(self.bounds[at] - before, n) + np.arange(n.sum())]
+
+
+def searched(x: np.ndarray, adjacent: Lists, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """`searched_some` for all queries, some at a time."""
     found = [searched_some(x, adjacent, q[k : k + CHUNK], own[k : k + CHUNK]) for k in range(0, len(q), CHUNK)]
     return np.concatenate([i + k * CHUNK for k, (i, _) in enumerate(found)]), np.concatenate([j for _, j in found])
 
 
-def searched_some(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def searched_some(x: np.ndarray, adjacent: Lists, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The (query, node) pairs in range that the greedy search of each query finds. It begins at the medoid and, for queries
     that are nodes themselves, at their own place (`own`, else -1)."""
     m, n = len(x), len(q)
@@ -190,10 +205,9 @@ def searched_some(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, own: np.nd
         k, j = np.nonzero(use)
         rows, at = active[k], best[k, j]
         done[rows, at] = True
-        near = adjacent[at]
+        degrees, near = adjacent.of(at)
         new = np.zeros((n, m), bool)
-        some = near >= 0
-        new[np.repeat(rows, some.sum(1)), near[some]] = True
+        new[np.repeat(rows, degrees), near] = True
         new &= ~np.isfinite(sims)
         rows, to = np.nonzero(new)
         sims[rows, to] = np.einsum("ij,ij->i", q[rows], x[to])
@@ -212,14 +226,12 @@ def search(table: pa.Table) -> pa.Table:
     ids = own.column("node").to_numpy()[order]
     x = matrix(own.column("unit").to_pylist())[order]
     lists = [own.column("near")[int(i)].values for i in order]
-    width = max(1, max(len(v) if v is not None else 0 for v in lists))
-    adjacent = np.full((len(ids), width), -1)
-    for i, v in enumerate(lists):
-        if v is not None:
-            v = v.to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(ids, v), len(ids) - 1)
-            at = at[ids[at] == v]
-            adjacent[i, : len(at)] = at
+    places = []
+    for v in lists:
+        v = v.to_numpy(zero_copy_only=False) if v is not None else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(ids, v), len(ids) - 1)
+        places.append(at[ids[at] == v])
+    adjacent = Lists(np.concatenate([[0], np.cumsum([len(p) for p in places])]), np.concatenate(places))
     theirs = asked.column("node").to_numpy()
     q = matrix(asked.column("unit").to_pylist())
     own_at = np.minimum(np.searchsorted(ids, theirs), len(ids) - 1)
