@@ -5,9 +5,9 @@ whole. Columns are ordered, rare ones first, by a sketch of all shingle counts.
 any linked pair overlaps in it; its product gives overlap counts, and pairs whose count can't reach the bound that
 their sizes set are dropped. The other columns are then counted for the pairs left, and the exact rule decides.
 
-Groups of copies make no pairs of all with all. Each column first names as hub its smallest row that size allows; each
-row is compared with the hub it shares most columns with, and linked rows become one component. After that only columns
-that still hold several components are multiplied, between different components. No link between components is lost.
+Groups of copies make no pairs of all with all. Each column first names a hub, the row that shares most; each row is compared with
+the hub it has most columns in common with, and linked rows become one component. After that only
+columns that still hold several components are multiplied, between different components. No link between components is lost.
 
 A text with fewer words than a shingle has one shingle, all its words. Null and empty texts have no shingle and link with
 nothing. Rows with equal text share a component, whether or not their doc_id repeats; a null doc_id is never the
@@ -17,10 +17,11 @@ smallest. Other columns are not looked at. Shingles and sets are known by hashes
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oeuvre.llm import words as w
@@ -31,10 +32,16 @@ SIZE = 5
 PERCENT = 75
 
 #: Counters of the sketch that orders columns. It only steers the order, so its errors cost time, never links.
-SKETCH = 1 << 18
+SKETCH = 1 << 22
+#: Sets that a task hands over at once.
+ROWS = 500
 #: A column counted in more than this part of all documents is dealt out in `SALTS` parts.
 COMMON = 500
 SALTS = 64
+#: A part of the order of columns, a fifth of all that aren't common, that most first blocks reach beyond.
+PART = (1 << 58) // 5
+FAR = 127
+INFO = 28
 #: A row is compared with its first hub if they share at least this part of its first block.
 SHARED = 0.2
 
@@ -67,7 +74,7 @@ def profiles(size: int):
             nodes, counts = [None] * batch.num_rows, np.zeros(batch.num_rows, np.int64)
             for i, values in shingles(batch, size):
                 nodes[i], counts[i] = name(values), len(values)
-                np.add.at(sketch, (values & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                np.add.at(sketch, counters(values >> np.uint64(6)), 1)
             empty = pa.nulls(batch.num_rows, pa.binary())
             yield pa.record_batch({"row": batch.column("row"), "doc_id": batch.column("doc_id"), "node": pa.array(nodes, pa.int64()), "n": pa.array(counts), "vector": empty})
         one = pa.nulls(1, pa.int64())
@@ -76,12 +83,16 @@ def profiles(size: int):
     return task
 
 
-def ordered(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Shingles by the order of columns: those counted more often than is usual come last, by how often."""
-    usual = 2 * counts.mean() + 64
-    rank = np.log2(np.maximum(counts[(values & np.uint64(SKETCH - 1)).astype(np.int64)] / usual, 1)).astype(np.uint64) + np.uint64(1)
-    rank[counts[(values & np.uint64(SKETCH - 1)).astype(np.int64)] <= usual] = 0
-    return np.sort((np.minimum(rank, 31) << np.uint64(58)) | (values >> np.uint64(6)))
+def counters(columns: np.ndarray) -> np.ndarray:
+    """The counter of each column."""
+    return (columns & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """For each counter the rank of its columns, in the topmost bits: 0, or more the more often they are counted than usual."""
+    usual = 2 * counts.mean() + 8
+    rank = np.where(counts > usual, np.log2(np.maximum(counts, 1) / usual) + 1, 0)
+    return np.minimum(rank, 31).astype(np.uint64) << np.uint64(58)
 
 
 def block(n, percent: int = PERCENT):
@@ -90,164 +101,156 @@ def block(n, percent: int = PERCENT):
 
 
 def first_columns(size: int, percent: int, counts, documents: int):
+    """Entries (h, salt, node, info): the first columns of each set of a batch. `info` has the size of the set and, above it,
+    the number of these columns below `PART` and how far towards it the block reaches (`FAR`: beyond)."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = counts.value.mean() + max(64, documents / COMMON)
+        rank = ranks(counts.value)
+        common = counts.value > counts.value.mean() + max(64, documents / COMMON)
         for batch in batches:
-            seen, sizes, columns, salts = {}, [], [], []
+            seen, parts = set(), []
             for _, values in shingles(batch, size):
                 node = name(values)
                 if node in seen:
                     continue
-                seen[node] = k = block(len(values), percent)
-                rank = ordered(values, counts.value)[:k]
-                hot = counts.value[(values & np.uint64(SKETCH - 1)).astype(np.int64)] > common
-                often = np.isin(rank & np.uint64((1 << 58) - 1), values[hot] >> np.uint64(6)) if hot.any() else np.zeros(k, bool)
-                sizes.append(len(values))
-                columns.append(rank)
-                salts.append(np.where(often, 1 + (node & (SALTS - 1)), 0))
-            if seen:
-                times = list(seen.values())
-                yield pa.record_batch(
-                    {
-                        "h": signed(np.concatenate(columns)),
-                        "salt": pa.array(np.concatenate(salts).astype(np.int8)),
-                        "node": pa.array(np.repeat(np.array(list(seen), np.int64), times)),
-                        "n": pa.array(np.repeat(np.array(sizes, np.int32), times)),
-                    }
-                )
+                seen.add(node)
+                k = block(len(values), percent)
+                own = values >> np.uint64(6)
+                first = np.sort(own | rank[counters(own)])[:k]
+                reach = min(FAR, int(first[-1]) * FAR // PART)
+                info = reach << 2 * INFO | int(np.searchsorted(first, PART)) << INFO | len(values)
+                parts.append((first, np.where(common[counters(first)], 1 + (node & (SALTS - 1)), 0), node, info))
+                if len(parts) == ROWS:
+                    yield entries(parts)
+                    parts = []
+            if parts:
+                yield entries(parts)
 
     return task
 
 
-def hubs(percent: int):
-    """Of entries sorted by (h, salt, n, node), those whose column holds several rows, with their hub: the smallest
-    row of the column whose size allows a link. Memory is one batch; a column may span any number of them."""
+def entries(parts: list) -> pa.RecordBatch:
+    times = [len(p[0]) for p in parts]
+    return pa.record_batch(
+        {
+            "h": signed(np.concatenate([p[0] for p in parts])),
+            "salt": pa.array(np.concatenate([p[1] for p in parts]).astype(np.int8)),
+            "node": pa.array(np.repeat(np.array([p[2] for p in parts], np.int64), times)),
+            "info": pa.array(np.repeat(np.array([p[3] for p in parts], np.int64), times)),
+        }
+    )
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, hub = None, None, None
-        for batch in batches:
-            h, salt, node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "salt", "node", "n"))
-            if held is not None:
-                h, salt, node, n = (np.concatenate([[a], b]) for a, b in zip(held, (h, salt, node, n), strict=True))
-            same = (h[1:] == h[:-1]) & (salt[1:] == salt[:-1])
-            live = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (salt > 0)
-            if key == (h[0], salt[0]):
-                live[0] = True
-            held = (h[-1], salt[-1], node[-1], n[-1])
-            at = np.flatnonzero(live[:-1])
-            out = []
-            for c, s, x, k in zip(h[at].tolist(), salt[at].tolist(), node[at].tolist(), n[at].tolist(), strict=True):
-                if key != (c, s) or percent * k > 100 * hub[1]:
-                    key, hub = (c, s), (x, k)
-                out.append(hub)
-            yield entries(h[at], node[at], n[at], out)
-        if held is not None and (held[1] > 0 or key == (held[0], held[1])):
-            c, s, x, k = (int(v) for v in held)
-            if key != (c, s) or percent * k > 100 * hub[1]:
-                hub = (x, k)
-            yield entries([c], [x], [k], [hub])
 
-    return task
-
-
-def entries(h, node, n, hub) -> pa.RecordBatch:
-    at = np.array(hub, np.int64).reshape(-1, 2)
-    return pa.record_batch({"h": pa.array(h, pa.int64()), "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int32()), "hub": pa.array(at[:, 0]), "hub_n": pa.array(at[:, 1].astype(np.int32))})
-
-
-def wanted_sets(size: int, counts, known):
+def wanted_sets(size: int, known):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.filter(pa.array(in_map(known.value, batch.column("row").to_numpy(zero_copy_only=False).view(np.uint64))))
-            rows, found = own.column("row").to_pylist(), list(shingles(own, size))
-            yield pa.record_batch(
-                {
-                    "row": pa.array([rows[i] for i, _ in found], pa.int64()),
-                    "node": pa.array([name(v) for _, v in found], pa.int64()),
-                    "columns": pa.array([v.tobytes() for _, v in found], pa.binary()),
-                }
-            )
+            rows, sets = own.column("row").to_pylist(), shingles(own, size)
+            while found := list(islice(sets, ROWS)):
+                yield pa.record_batch(
+                    {
+                        "row": pa.array([rows[i] for i, _ in found], pa.int64()),
+                        "node": pa.array([name(v) for _, v in found], pa.int64()),
+                        "columns": pa.array([v.view(np.int64) for _, v in found], pa.list_(pa.int64())),
+                    }
+                )
 
     return task
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, counts) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """The sets of some nodes, read from one document of each."""
     rows = staged(nodes.join(wanted, "node", "left_semi").select("node", "row"), "wanted")
     known = docs.sparkSession.sparkContext.broadcast(bit_map(rows.select(F.col("row").alias("h")), rows.count()))
-    found = mapped(docs.select("row", "text"), wanted_sets(size, counts, known), "row long, node long, columns binary")
+    found = mapped(docs.select("row", "text"), wanted_sets(size, known), "row long, node long, columns array<long>")
     return staged(found.join(rows, ["row", "node"], "left_semi").dropDuplicates(["node"]).select("node", "columns"), "sets")
 
 
-def overlaps(percent: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = []
-            for x, y in zip(batch.column("ca"), batch.column("cb"), strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.sort(np.concatenate([a, b]))
-                i = int((both[1:] == both[:-1]).sum())
-                links.append(100 * i >= percent * (len(a) + len(b) - i))
-            yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
-
-    return task
-
-
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the whole sets link."""
     for side in ("a", "b"):
         own = sets.select(F.col("node").alias(side), F.col("columns").alias(f"c{side}"))
         pairs = pairs.join(own, side)
-    return mapped(pairs.select("a", "b", "ca", "cb"), overlaps(percent), "a long, b long")
+    both = F.size(F.array_intersect("ca", "cb"))
+    return pairs.where((100 + percent) * both >= percent * (F.size("ca") + F.size("cb"))).select("a", "b")
 
 
 def can_link(percent: int):
     return F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
 
 
+def with_hubs(own: DataFrame, percent: int) -> DataFrame:
+    """For each row (h, node, n, shared, root) its best hub in another component: (a, b).
+
+    A column's hub is the row with the largest part of its first block in columns that others have too: of a group of
+    copies that is the original rather than a copy with words of its own.
+    """
+    first = F.max(F.struct("shared", -F.col("n"), "node", "n", "root")).alias("x")
+    hub = own.groupBy("h").agg(first, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    hub = hub.select("h", F.col("x.node").alias("b"), F.col("x.n").alias("nb"), F.col("x.root").alias("rb"))
+    pairs = own.join(hub, "h").select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb", F.col("root").alias("ra"), "rb")
+    pairs = pairs.where((F.col("ra") != F.col("rb")) & can_link(percent)).groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"))
+    pairs = pairs.where(F.col("k") >= F.col("na") * (SHARED * (100 - percent) / 100))
+    return pairs.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
+
+def across(own: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components whose first blocks overlap enough for their sizes.
+
+    The row whose block ends first has no more columns left than its block leaves. And if both blocks reach beyond `PART`, all
+    common columns below it are counted, and no more can follow than either row has left from there.
+    """
+    mixed = own.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    mixed = staged(own.join(mixed, "h", "left_semi"), "entries")
+    left, right = (mixed.select("h", *[F.col(c).alias(f"{to}{side}") for c, to in (("node", ""), ("n", "n"), ("inner", "inner"), ("reach", "reach"), ("root", "r"))]) for side in "ab")
+    pairs = left.join(right.withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & can_link(percent))
+    sizes = [F.first(c).alias(c) for c in ("na", "nb", "innera", "innerb", "reacha", "reachb")]
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.sum((F.col("h") < PART).cast("long")).alias("k_inner"), *sizes)
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    after = {c: F.ceil(F.col(f"n{c}") * percent / 100) - 1 for c in "ab"}
+    left = F.least(*[F.col(f"n{c}") - F.col(f"inner{c}") for c in "ab"])
+    a, b = F.col("reacha"), F.col("reachb")
+    most = F.col("k") + F.when(a < b, after["a"]).when(a > b, after["b"]).otherwise(F.greatest(*after.values()))
+    most = F.least(most, F.when(F.least(a, b) == FAR, F.col("k_inner") + left))
+    return pairs.where(most >= need).select("a", "b")
+
+
 def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), row (a hash of id and text) of each document."""
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    schema = "row long, doc_id long, node long, n long, vector binary"
-    seen = staged(mapped(docs, profiles(size), schema), "profiles")
+    seen = staged(mapped(docs, profiles(size), "row long, doc_id long, node long, n long, vector binary"), "profiles")
     rows = seen.where("vector IS NULL").drop("vector")
     total = rows.count()
-    counts = spark.sparkContext.broadcast(vector_sum(seen.where("vector IS NOT NULL"), SKETCH))
+    counts = spark.sparkContext.broadcast(vector_sum(seen.where("vector IS NOT NULL"), SKETCH).astype(np.float32))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("n_key"))
     nodes = staged(nodes, "nodes")
 
-    columns = mapped(docs.select("text"), first_columns(size, percent, counts, total), "h long, salt byte, node long, n int")
-    columns = columns.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "node")
-    live = staged(mapped(columns, hubs(percent), "h long, node long, n int, hub long, hub_n int").distinct(), "live")
-
-    pairs = live.where("node <> hub").groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("na"))
-    best = pairs.where(F.col("k") >= F.col("na") * (SHARED * (100 - percent) / 100)).groupBy("a").agg(F.max(F.struct("k", "b")).alias("best"))
-    best = staged(best.select("a", F.col("best.b").alias("b")), "pairs")
-    ends = best.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    near = staged(linked(best, sets_of(docs, nodes, ends, size, counts), percent), "links")
-    found = components(near)
-
-    own = live.join(found, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
-    own = staged(own, "entries")
-    mixed = own.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    mixed = staged(own.join(mixed, "h", "left_semi"), "entries")
-    left, right = (mixed.select("h", *[F.col(c).alias(f"{to}{side}") for c, to in (("node", ""), ("n", "n"), ("root", "r"))]) for side in "ab")
-    pairs = left.join(right, (left.h == right.h) & (left.ra != right.rb) & (left.a < right.b) & can_link(percent))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    beyond = F.greatest(*[F.ceil(F.col(c) * percent / 100) - 1 for c in ("na", "nb")])
-    pairs = staged(pairs.where(F.col("k") + beyond >= need).select("a", "b"), "pairs")
-    if not pairs.isEmpty():
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        near = near.union(linked(pairs, sets_of(docs, nodes, ends, size, counts), percent))
-        found = components(near)
-
-    known = nodes.join(found, "node", "left").select("node", "least_id", "n_key", F.coalesce("root", "node").alias("root"))
-    known = staged(known.where("n_key > 1 or root <> node").unionByName(known.where("n_key = 1 and root = node").join(found.select("node"), "node", "left_semi")), "known")
-    least = known.groupBy("root").agg(F.min("least_id").alias("component"))
-    known = staged(known.join(least, "root").select("node", "n_key", "component"), "known")
+    entries = mapped(docs.select("text"), first_columns(size, percent, counts, total), "h long, salt byte, node long, info long")
+    column = Window.partitionBy("h", "salt")
+    live = entries.withColumn("several", (F.min("node").over(column) != F.max("node").over(column)) | (F.col("salt") > 0))
+    live = staged(live.where("several").select("h", "node", F.col("info").bitwiseAND(F.lit((1 << INFO) - 1)).alias("n"), F.shiftright("info", INFO).bitwiseAND(F.lit((1 << INFO) - 1)).alias("inner"), F.shiftright("info", 2 * INFO).alias("reach")).distinct(), "live")
+    shared = live.groupBy("node").agg((F.count("*") / F.first("n")).alias("shared"))
+    live = staged(live.join(shared, "node"), "live")
+
+    links, found = None, None
+    for step in (with_hubs, across):
+        own = live.withColumn("root", F.col("node"))
+        if found is not None:
+            own = staged(live.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "entries")
+        pairs = staged(step(own, percent), "pairs")
+        if not pairs.isEmpty():
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            new = staged(linked(pairs, sets_of(docs, nodes, ends, size), percent), "links")
+            links = new if links is None else links.union(new)
+            found = components(links)
+
+    known = nodes.select("node", "least_id", "n_key").withColumn("root", F.col("node"))
+    if found is not None:
+        known = nodes.join(found, "node", "left").select("node", "least_id", "n_key", F.coalesce("root", "node").alias("root"))
+    size_of = known.groupBy("root").agg(F.min("least_id").alias("component"), F.sum("n_key").alias("many"))
+    known = staged(known.join(staged(size_of.where("many > 1"), "least"), "root").select("node", "n_key", "component"), "known")
     out = lookup(rows.select("doc_id", "n", "node", "row"), known, "node", F.xxhash64("doc_id", "n"), total)
     named = F.coalesce("component", "doc_id").cast(kind).alias("component_id")
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), named, "row")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -121,16 +122,20 @@ def lookup(rows: DataFrame, found: DataFrame, key: str, spread: Column, total: i
 
 
 def vector_row(values: np.ndarray) -> pa.RecordBatch:
-    """One row with a vector, for `vector_sum`."""
-    return pa.record_batch({"vector": pa.array([values.astype(np.int64).tobytes()], pa.binary())})
+    """One row with a vector of counts, for `vector_sum`; most of its bytes are zero, so it is packed."""
+    return pa.record_batch({"vector": pa.array([zlib.compress(values.astype(np.int64).tobytes(), 1)], pa.binary())})
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.int64)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:
         for raw in batch.column("vector"):
-            own = np.frombuffer(raw.as_py(), np.int64)
-            total = own.copy() if total is None else total + own
+            own = _unpacked(raw.as_py())
+            total = own.copy() if total is None else np.add(total, own, out=total)
     if total is not None:
         yield vector_row(total)
 
@@ -138,4 +143,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def vector_sum(vectors: DataFrame, length: int, parts: int = 16) -> np.ndarray:
     """The sum of the vectors of all tasks. `parts` rows of fixed length come to the driver, one after another."""
     rows = mapped(vectors.select("vector").repartition(parts), _summed, "vector binary").toLocalIterator()
-    return sum((np.frombuffer(r["vector"], np.int64) for r in rows), np.zeros(length, np.int64))
+    total = np.zeros(length, np.int64)
+    for row in rows:
+        total += _unpacked(row["vector"])
+    return total
