@@ -1,10 +1,12 @@
 """Benchmark decontamination by templates: copies of benchmark items, also with other numbers, names and units.
 
-A text becomes template tokens: words in lower case, with typed placeholders for numbers (digits or number words), names
-(capitalised within a sentence) and units after a number; a run of numbers or of names is one placeholder. Windows of
+A text becomes template tokens: words of folded case (all of Unicode), with typed placeholders for numbers (digits or number words), names
+(capitalised within a sentence) and units after a number; a run of numbers or of names is one placeholder. A second, case-blind
+template has no names, so that passages whose case was changed match too; each template is matched with its like only. Windows of
 `WIDTH` tokens of the items are hash-joined with those of the documents. Matches are then grouped by document, item and
 distance between their places. A group is a leak if it has `LEAST` windows, or all of the item, and its slots are consistent:
 an item's value stands for one value in the document, and no other item value for the same, in at least `AGREE` of the values.
+What is returned of a pair comes from the template with names, if that finds it.
 
 Documents first meet a bit map of the items' windows, of bounded size, so only possible matches are shuffled. A text shorter than a
 window is one window, which only an equally short one equals. Null and empty texts have none. Windows with fewer than `LITERAL`
@@ -41,6 +43,10 @@ kilometer kilometers kilometre kilometres centimeter centimeters hz khz mhz ghz
 WORD, NUMBER, NAME, UNIT = range(4)
 SLOTS = w.mixed(np.arange(1, 4, dtype=np.uint64))
 
+# The kinds of templates. Their hashes differ by a salt.
+NAMED, BLIND = range(2)
+SALTS = np.array([0, 0x9E6C63D0876A9A47], np.uint64)
+
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 DIGIT = np.zeros(256, bool)
@@ -73,7 +79,34 @@ class Template:
     bounds: np.ndarray
 
 
-def template(piece: w.Piece) -> Template:
+def folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The hashes of words, folded by all of Unicode; `values` are those with A-Z folded. A word and its upper case fold alike."""
+    sums = np.concatenate([[0], np.cumsum(data >= 0x80)])
+    wide = np.flatnonzero(sums[ends] > sums[starts])
+    if not len(wide):
+        return values
+    _, first, again = np.unique(values[wide], return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    texts = b"\n".join([raw[a:b] for a, b in zip(starts[wide[first]].tolist(), ends[wide[first]].tolist(), strict=True)])
+    texts = texts.decode("utf-8", "surrogateescape").upper().casefold().encode("utf-8", "surrogateescape").split(b"\n")
+    sizes = np.array([len(t) for t in texts])
+    out = values.copy()
+    out[wide] = w.run_hashes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes)[again]
+    return out
+
+
+@dataclass
+class Tokens:
+    """Words and numbers of a piece: hash, type, whether first of a document or of a sentence, where documents begin."""
+
+    values: np.ndarray
+    types: np.ndarray
+    opens: np.ndarray
+    new_sentence: np.ndarray
+    bounds: np.ndarray
+
+
+def tokens(piece: w.Piece) -> Tokens:
     data, edges = piece.data, piece.bounds[:-1][piece.bounds[:-1] < len(piece.data)]
     digit = DIGIT[data]
     if len(data) > 2:
@@ -88,12 +121,12 @@ def template(piece: w.Piece) -> Template:
     starts = np.flatnonzero(first)
     bounds = np.searchsorted(starts, piece.bounds)
     if not len(starts):
-        return Template(np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64), bounds)
+        return Tokens(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), bounds)
     inside = kind > 0
     sums = np.concatenate([[0], np.cumsum(inside)])
     lengths = sums[np.append(starts[1:], len(data))] - sums[starts]
     ends = starts + lengths
-    values = w.run_hashes(w.LOWER[data[inside]], sums[starts], lengths)
+    values = folded(data, starts, ends, w.run_hashes(w.LOWER[data[inside]], sums[starts], lengths))
 
     opens = np.zeros(len(starts), bool)
     opens[bounds[:-1][bounds[:-1] < len(starts)]] = True
@@ -103,18 +136,30 @@ def template(piece: w.Piece) -> Template:
     second = data[np.minimum(starts + 1, len(data) - 1)]
     latin = (data[starts] == 0xC3) & (second >= 0x80) & (second <= 0x9E)
     after = data[np.minimum(starts + 1 + latin, len(data) - 1)]
-    small = LETTER[after] & ~UPPER[after] & (lengths > 1 + latin)
+    then = data[np.minimum(starts + 2 + latin, len(data) - 1)]
+    small = LETTER[after] & ~UPPER[after] & ~((after == 0xC3) & (then >= 0x80) & (then <= 0x9E)) & (lengths > 1 + latin)
     number = (kind[starts] == 2) | np.isin(values, NUMBER_HASHES)
     unit = np.isin(values, UNIT_HASHES) & ~opens & ~number
     unit[1:] &= number[:-1]
     unit[:1] = False
     name = (UPPER[data[starts]] | latin) & small & ~new_sentence & ~number & ~unit & (kind[starts] == 1)
     types = np.select([number, name, unit], [NUMBER, NAME, UNIT], WORD)
+    return Tokens(values, types, opens, new_sentence, bounds)
+
+
+def template(piece: w.Piece, kind: int = NAMED) -> Template:
+    return of_kind(tokens(piece), kind)
+
 
-    keep = np.ones(len(starts), bool)
+def of_kind(text: Tokens, kind: int) -> Template:
+    values, opens, new_sentence, bounds = text.values, text.opens, text.new_sentence, text.bounds
+    types = np.where(text.types == NAME, WORD, text.types) if kind == BLIND else text.types
+    if not len(values):
+        return Template(values, np.zeros(0, bool), values, bounds)
+    keep = np.ones(len(values), bool)
     keep[1:] = ~((types[1:] == types[:-1]) & np.isin(types[1:], [NUMBER, NAME]) & ~opens[1:] & ~new_sentence[1:])
     at = np.flatnonzero(keep)
-    turn = np.arange(len(starts)) - np.repeat(at, np.diff(np.append(at, len(starts))))
+    turn = np.arange(len(values)) - np.repeat(at, np.diff(np.append(at, len(values))))
     runs = w.mixed(np.add.reduceat(values * w.powers(w.STEP, int(turn.max()) + 1)[turn], at))
     kinds = types[at]
     hashes = np.where(kinds == WORD, values[at], SLOTS[np.maximum(kinds, 1) - 1])
@@ -139,7 +184,7 @@ def windows(text: Template, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(found), at, np.concatenate(sizes)
 
 
-FIELDS = "h long, at int, n int, slots array<long>"
+FIELDS = "kind byte, h long, at int, n int, slots array<long>"
 
 
 def matched(known, width: int):
@@ -148,17 +193,21 @@ def matched(known, width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in w.pieces(batch.column("text")):
-                text = template(piece)
-                h, at, size = windows(text, width)
-                own = np.searchsorted(text.bounds, at, "right") - 1
-                total = np.bincount(own, minlength=piece.rows)[own]
-                hit = in_map(known.value, h) if known else np.ones(len(h), bool)
-                h, at, size, own, total = (x[hit] for x in (h, at, size, own, total))
-                slots = [text.values[a : a + n][text.slot[a : a + n]].view(np.int64) for a, n in zip(at, size, strict=True)]
-                ids = batch.column(0).take(pa.array(own + piece.first))
-                row = batch.column(1).take(pa.array(own + piece.first))
-                places = pa.array((at - text.bounds[own]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids, row, signed(h), places, pa.array(total.astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))], ["id", "row", "h", "at", "n", "slots"])
+                words = tokens(piece)
+                for kind in (NAMED, BLIND):
+                    text = of_kind(words, kind)
+                    h, at, size = windows(text, width)
+                    h = h ^ SALTS[kind]
+                    own = np.searchsorted(text.bounds, at, "right") - 1
+                    total = np.bincount(own, minlength=piece.rows)[own]
+                    hit = in_map(known.value, h) if known else np.ones(len(h), bool)
+                    h, at, size, own, total = (x[hit] for x in (h, at, size, own, total))
+                    slots = [text.values[a : a + n][text.slot[a : a + n]].view(np.int64) for a, n in zip(at, size, strict=True)]
+                    ids = batch.column(0).take(pa.array(own + piece.first))
+                    row = batch.column(1).take(pa.array(own + piece.first))
+                    places = pa.array((at - text.bounds[own]).astype(np.int32))
+                    kinds = pa.array(np.full(len(h), kind, np.int8))
+                    yield pa.RecordBatch.from_arrays([ids, row, kinds, signed(h), places, pa.array(total.astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))], ["id", "row", "kind", "h", "at", "n", "slots"])
 
     return task
 
@@ -173,24 +222,26 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
     """A row for each document and item that leaked into it: doc_id, row (hash of id and text), item_id, windows (matched),
     item_windows, slots (values compared), consistent (the share of them)."""
     spark = documents.sparkSession
-    items = staged(window_rows(benchmark, "item_id", None, width).dropDuplicates(["id", "row", "at"]), "items")
+    items = staged(window_rows(benchmark, "item_id", None, width).dropDuplicates(["id", "row", "kind", "at"]), "items")
     distinct = items.select("h").distinct()
     known = spark.sparkContext.broadcast(bit_map(distinct, distinct.count()))
-    hits = staged(window_rows(documents, "doc_id", known, width), "hits")
-    theirs = items.select(F.col("id").alias("item_id"), F.col("row").alias("item"), "h", F.col("at").alias("item_at"), F.col("n").alias("item_windows"), F.col("slots").alias("item_slots"))
+    hits = staged(window_rows(documents, "doc_id", known, width).drop("kind"), "hits")
+    theirs = items.select(F.col("id").alias("item_id"), F.col("row").alias("item"), "kind", "h", F.col("at").alias("item_at"), F.col("n").alias("item_windows"), F.col("slots").alias("item_slots"))
     pairs = hits.withColumnRenamed("id", "doc_id").join(theirs, "h").withColumn("shift", F.col("at") - F.col("item_at"))
-    by = ["row", "doc_id", "item", "item_id", "shift"]
+    group = ["row", "item", "kind", "shift"]
+    by = ["doc_id", "item_id", *group]
     groups = pairs.groupBy(*by).agg(F.count_distinct("item_at").alias("windows"), F.max("item_windows").alias("item_windows"))
     groups = staged(groups.where(F.col("windows") >= F.least(F.lit(LEAST), "item_windows")), "groups")
-    kept = pairs.where(F.size("slots") > 0).select("row", "item", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    kept = kept.select("row", "item", "shift", F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).distinct()
-    kept = kept.join(groups.select("row", "item", "shift").distinct(), ["row", "item", "shift"], "left_semi")
-    ours = kept.groupBy("row", "item", "shift", "b").agg(F.count("*").alias("nb"))
-    values = kept.join(ours, ["row", "item", "shift", "b"]).groupBy("row", "item", "shift", "a")
+    kept = pairs.where(F.size("slots") > 0).select(*group, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    kept = kept.select(*group, F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).distinct()
+    kept = kept.join(groups.select(*group).distinct(), group, "left_semi")
+    ours = kept.groupBy(*group, "b").agg(F.count("*").alias("nb"))
+    values = kept.join(ours, [*group, "b"]).groupBy(*group, "a")
     values = values.agg(((F.count("*") == 1) & (F.max("nb") == 1)).cast("int").alias("fits"))
-    values = values.groupBy("row", "item", "shift").agg(F.count("*").alias("slots"), F.avg("fits").alias("consistent"))
-    out = groups.join(values, ["row", "item", "shift"], "left").na.fill({"slots": 0, "consistent": 1.0})
-    best = out.where(F.col("consistent") >= AGREE).groupBy("doc_id", "row", "item_id").agg(F.max(F.struct("windows", "consistent", "item_windows", "slots")).alias("x"))
+    values = values.groupBy(*group).agg(F.count("*").alias("slots"), F.avg("fits").alias("consistent"))
+    out = groups.join(values, group, "left").na.fill({"slots": 0, "consistent": 1.0})
+    first = F.struct((-F.col("kind")).alias("order"), "windows", "consistent", "item_windows", "slots")
+    best = out.where(F.col("consistent") >= AGREE).groupBy("doc_id", "row", "item_id").agg(F.max(first).alias("x"))
     return best.select("doc_id", "row", "item_id", "x.windows", F.col("x.item_windows").cast("long").alias("item_windows"), "x.slots", "x.consistent")
 
 

@@ -102,6 +102,28 @@ def test_leaks_against_all_windows(spark):
     assert found == expected and exact <= found
 
 
+ACCENTS = "Élodie Müller achète douze pommes à Besançon où l’école fête Noël, ça coûte 5 euros. Große Straße, ΟΔΟΣ οδος, Łódź ďalej všetko sú štyri čiary."
+
+
+@pytest.mark.parametrize("text", [ITEM, ACCENTS])
+def test_leaks_of_other_case(spark, documents, text):
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    rows = [(k, f"Before it. {x} And after") for k, x in enumerate([text, text.upper(), text.lower(), text.title()])]
+    assert got(templates.leaks(documents(rows), items), "doc_id", "item_id") == [(k, 1) for k in range(4)]
+    one = templates.leaks(documents(rows[1:2]), items).first()
+    assert one["windows"] == one["item_windows"] and one["consistent"] == 1.0
+
+
+def test_items_in_other_case_are_found(spark):
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    ids = [r[0] for r in items.select("item_id").collect()]
+    for change in (str.upper, str.lower):
+        rows = [(r["item_id"], change(r["text"])) for r in items.collect()]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = templates.leaks(docs, items).where("doc_id = item_id AND windows = item_windows")
+        assert sorted(r[0] for r in found.collect()) == sorted(ids)
+
+
 # Languages
 
 def test_language_edges(spark, documents):
