@@ -130,7 +130,8 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, whole, block, place, raw in zip(batch.column("path").to_pylist(), batch.column("whole").to_pylist(), batch.column("block").to_pylist(), places, batch.column("value"), strict=True):
             value = raw.as_buffer()
             text = memoryview(value)
-            head = bytes(text[: 1 << 16]).find(END.encode())
+            end = re.search(END.encode(), text)
+            head = end.start() if end else -1
             row = [path, whole, block, place, len(value) + len(MAGIC), None, None, None, None, None, None, None, None]
             if head >= 0:
                 own = fields(bytes(text[:head]))

@@ -421,6 +421,13 @@ def test_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0), str(tmp_path / "b")).count() == 0
 
 
+def test_headers_of_any_length(spark, tmp_path):
+    rows = [(1, "u", "first"), (2, "data:text/plain," + "a b" * 30_000, "second"), (3, "x" * 70_000, None), (4, "u", "last")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    out = warc.round_trip(pages, str(tmp_path / "a"))
+    assert got(out, "page_id", "payload_bytes", "payload_digest") == [(i, len(h or ""), sha(h or "")) for i, _, h in rows]
+
+
 def test_archives_split_anywhere(spark, tmp_path):
     draw = random.Random(2)
     rows = [(k, "u", "WARC/1.0\r\n".join("x" * draw.randrange(200) for _ in range(draw.randrange(1, 4)))) for k in range(200)]
