@@ -8,10 +8,15 @@ distance between their places. A group is a leak if it has `LEAST` windows, or a
 an item's value stands for one value in the document, and no other item value for the same, in at least `AGREE` of the values.
 What is returned of a pair comes from the template with names, if that finds it.
 
-Documents first meet a bit map of the items' windows, of bounded size, so only possible matches are shuffled. A text shorter than a
-window is one window, which only an equally short one equals. Null and empty texts have none. Windows with fewer than `LITERAL`
-words (or than all of a shorter window) match too much and aren't used. Rows that repeat give one result a doc_id and item; null
-ids are kept. Other columns than doc_id, item_id, text are not looked at.
+An item shorter than a window is one window, of its own length. With `inside`, documents are cut into windows of these lengths too
+(at most `WIDTH` - 1 of them), so that short items are found anywhere; without it only an equally short document equals one. The
+query and the pipeline look inside. Windows with fewer than `LITERAL` words (or than all of a shorter window) match too much and
+aren't used; an item that has no other is matched by its literal tokens, numbers and units as they are, and has to be there in whole.
+A short item, be it one word, leaks into every document with these words.
+
+Documents first meet a bit map of the items' windows, of bounded size, so only possible matches are shuffled. Null and empty texts
+have no window. Rows that repeat give one result a doc_id and item; null ids are kept. Other columns than doc_id, item_id, text
+are not looked at.
 """
 
 from __future__ import annotations
@@ -44,8 +49,8 @@ WORD, NUMBER, NAME, UNIT = range(4)
 SLOTS = w.mixed(np.arange(1, 4, dtype=np.uint64))
 
 # The kinds of templates. Their hashes differ by a salt.
-NAMED, BLIND = range(2)
-SALTS = np.array([0, 0x9E6C63D0876A9A47], np.uint64)
+NAMED, BLIND, LITERALLY = range(3)
+SALTS = np.array([0, 0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -153,6 +158,8 @@ def template(piece: w.Piece, kind: int = NAMED) -> Template:
 
 def of_kind(text: Tokens, kind: int) -> Template:
     values, opens, new_sentence, bounds = text.values, text.opens, text.new_sentence, text.bounds
+    if kind == LITERALLY:
+        return Template(values, np.zeros(len(values), bool), values, bounds)
     types = np.where(text.types == NAME, WORD, text.types) if kind == BLIND else text.types
     if not len(values):
         return Template(values, np.zeros(0, bool), values, bounds)
@@ -166,72 +173,97 @@ def of_kind(text: Tokens, kind: int) -> Template:
     return Template(hashes, kinds != WORD, runs, np.searchsorted(at, bounds))
 
 
-def windows(text: Template, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first token and number of tokens of the windows; short documents are one window."""
-    hashes = w.window_hashes(text.hashes, width)
+def windows(text: Template, width: int, inside: list[int] | None = None, least: int = LITERAL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first token and number of tokens of the windows. Short documents are one window, unless the lengths of
+    short windows are given by `inside`; of equal ones without a slot the first of a document is taken."""
     literal = np.concatenate([[0], np.cumsum(~text.slot)])
-    at = np.flatnonzero(w.window_starts(text.bounds, width))
-    at = at[literal[at + width] - literal[at] >= LITERAL]
-    found, sizes = [hashes[at]], [np.full(len(at), width)]
+    found, places, sizes = [], [], []
     n = np.diff(text.bounds)
-    short = np.flatnonzero((n > 0) & (n < width))
-    for i in short:
-        a, b = text.bounds[i], text.bounds[i + 1]
-        if literal[b] - literal[a] >= min(LITERAL, b - a):
-            found.append(w.window_hashes(text.hashes[a:b], int(b - a)) + np.uint64(b - a))
-            sizes.append(np.array([b - a]))
-            at = np.append(at, a)
-    return np.concatenate(found), at, np.concatenate(sizes)
-
-
-FIELDS = "kind byte, h long, at int, n int, slots array<long>"
-
-
-def matched(known, width: int):
-    """The windows of each row that may be an item's, with the values of their slots. `known`: a bit map, or none."""
+    for size in range(width, 0, -1):
+        if size == width or size in (inside or []):
+            at = np.flatnonzero(w.window_starts(text.bounds, size))
+        elif inside is None:
+            at = text.bounds[:-1][n == size]
+        else:
+            continue
+        words = literal[at + size] - literal[at]
+        at, words = at[words >= min(least, size)], words[words >= min(least, size)]
+        h = w.window_hashes(text.hashes, size)[at]
+        if size < width:
+            h = h + np.uint64(size)
+        if size < width and inside:
+            own = np.searchsorted(text.bounds, at, "right") - 1
+            order = np.lexsort([at, h, own])
+            again = np.zeros(len(at), bool)
+            again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+            first = ~(again & (words == size))
+            at, h = at[first], h[first]
+        found.append(h)
+        places.append(at)
+        sizes.append(np.full(len(at), size))
+    return np.concatenate(found), np.concatenate(places), np.concatenate(sizes)
+
+
+FIELDS = "kind byte, size int, h long, at int, n int, slots array<long>"
+
+
+def matched(known, width: int, lengths: dict[int, list[int] | None]):
+    """The windows of each row that may be an item's, with the values of their slots. `known`: a bit map, or none for the items.
+    `lengths`: for each kind the lengths of short windows."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in w.pieces(batch.column("text")):
                 words = tokens(piece)
-                for kind in (NAMED, BLIND):
+                usable = np.zeros(piece.rows, bool)
+                for kind, inside in sorted(lengths.items()):
                     text = of_kind(words, kind)
-                    h, at, size = windows(text, width)
+                    h, at, size = windows(text, width, inside, 0 if kind == LITERALLY else LITERAL)
                     h = h ^ SALTS[kind]
                     own = np.searchsorted(text.bounds, at, "right") - 1
                     total = np.bincount(own, minlength=piece.rows)[own]
                     hit = in_map(known.value, h) if known else np.ones(len(h), bool)
+                    if kind == LITERALLY and not known:
+                        hit = ~usable[own]
+                    usable[own] = True
                     h, at, size, own, total = (x[hit] for x in (h, at, size, own, total))
                     slots = [text.values[a : a + n][text.slot[a : a + n]].view(np.int64) for a, n in zip(at, size, strict=True)]
                     ids = batch.column(0).take(pa.array(own + piece.first))
                     row = batch.column(1).take(pa.array(own + piece.first))
                     places = pa.array((at - text.bounds[own]).astype(np.int32))
-                    kinds = pa.array(np.full(len(h), kind, np.int8))
-                    yield pa.RecordBatch.from_arrays([ids, row, kinds, signed(h), places, pa.array(total.astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))], ["id", "row", "kind", "h", "at", "n", "slots"])
+                    kinds, tall = pa.array(np.full(len(h), kind, np.int8)), pa.array(size.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([ids, row, kinds, tall, signed(h), places, pa.array(total.astype(np.int32)), pa.array(slots, pa.list_(pa.int64()))], ["id", "row", "kind", "size", "h", "at", "n", "slots"])
 
     return task
 
 
-def window_rows(texts: DataFrame, key: str, known=None, width: int = WIDTH) -> DataFrame:
+def window_rows(texts: DataFrame, key: str, lengths: dict[int, list[int] | None], known=None, width: int = WIDTH) -> DataFrame:
     kind = texts.schema[key].dataType.simpleString()
     rows = texts.select(key, F.xxhash64(key, "text").alias("row"), "text")
-    return mapped(rows, matched(known, width), f"id {kind}, row long, {FIELDS}")
+    return mapped(rows, matched(known, width, lengths), f"id {kind}, row long, {FIELDS}")
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, inside: bool = False) -> DataFrame:
     """A row for each document and item that leaked into it: doc_id, row (hash of id and text), item_id, windows (matched),
-    item_windows, slots (values compared), consistent (the share of them)."""
+    item_windows, slots (values compared), consistent (the share of them). `inside`: look for short items in longer documents."""
     spark = documents.sparkSession
-    items = staged(window_rows(benchmark, "item_id", None, width).dropDuplicates(["id", "row", "kind", "at"]), "items")
+    items = window_rows(benchmark, "item_id", dict.fromkeys((NAMED, BLIND, LITERALLY)), None, width)
+    items = staged(items.dropDuplicates(["id", "row", "kind", "at"]), "items")
+    lengths: dict[int, list[int] | None] = {}
+    for r in items.select("kind", "size").distinct().collect():
+        lengths.setdefault(r["kind"], []).extend([r["size"]] if r["size"] < width else [])
+    if not inside:
+        lengths = dict.fromkeys(lengths)
     distinct = items.select("h").distinct()
     known = spark.sparkContext.broadcast(bit_map(distinct, distinct.count()))
-    hits = staged(window_rows(documents, "doc_id", known, width).drop("kind"), "hits")
+    hits = staged(window_rows(documents, "doc_id", lengths, known, width).drop("kind", "size"), "hits")
     theirs = items.select(F.col("id").alias("item_id"), F.col("row").alias("item"), "kind", "h", F.col("at").alias("item_at"), F.col("n").alias("item_windows"), F.col("slots").alias("item_slots"))
     pairs = hits.withColumnRenamed("id", "doc_id").join(theirs, "h").withColumn("shift", F.col("at") - F.col("item_at"))
     group = ["row", "item", "kind", "shift"]
     by = ["doc_id", "item_id", *group]
     groups = pairs.groupBy(*by).agg(F.count_distinct("item_at").alias("windows"), F.max("item_windows").alias("item_windows"))
-    groups = staged(groups.where(F.col("windows") >= F.least(F.lit(LEAST), "item_windows")), "groups")
+    enough = F.when(F.col("kind") == LITERALLY, F.col("item_windows")).otherwise(F.least(F.lit(LEAST), "item_windows"))
+    groups = staged(groups.where(F.col("windows") >= enough), "groups")
     kept = pairs.where(F.size("slots") > 0).select(*group, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
     kept = kept.select(*group, F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).distinct()
     kept = kept.join(groups.select(*group).distinct(), group, "left_semi")
@@ -245,12 +277,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
     return best.select("doc_id", "row", "item_id", "x.windows", F.col("x.item_windows").cast("long").alias("item_windows"), "x.slots", "x.consistent")
 
 
-def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(documents: DataFrame, benchmark: DataFrame, inside: bool = False) -> DataFrame:
     """The documents that no item leaked into."""
-    found = staged(leaks(documents, benchmark).select(F.col("row").alias("_row")).distinct(), "leaks")
+    found = staged(leaks(documents, benchmark, inside=inside).select(F.col("row").alias("_row")).distinct(), "leaks")
     return packed(documents, _row=F.xxhash64("doc_id", "text")).join(found, "_row", "left_anti").select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), inside=True)
     return found.drop("row").groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"), F.max("slots").alias("slots"), F.max("consistent").alias("consistent"))

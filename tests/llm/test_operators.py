@@ -124,6 +124,37 @@ def test_items_in_other_case_are_found(spark):
         assert sorted(r[0] for r in found.collect()) == sorted(ids)
 
 
+def test_short_items_inside_longer_documents(spark, documents):
+    sums = "12 + 7 = 19, 3 + 4 = 7, 5 + 6 = 11, 8 + 9 = 17, 20 + 1 = 21"
+    items = [(1, "What is the capital of France?"), (2, "Paris"), (3, "1914 1918"), (4, sums), (5, "Anna Karenina"), (6, "red green blue pink"), (7, None), (8, "")]
+    texts = {
+        1: "He asked: what is the capital of France? Nobody knew the answer that day.",
+        2: "They went to Paris by train and they stayed there in Paris for a week.",
+        3: "The war of 1914 1918 was long, and nobody wanted it to go on for so long.",
+        4: f"Learn these sums by heart: {sums}. Then go on to the next page of it.",
+        5: "In that year everybody was reading ANNA KARENINA on the train to the office.",
+        6: "red green blue pink grey",
+        7: "The war of 1914 1919 was long, 12 + 7 = 19, 3 + 4 = 7, 5 + 6 = 12, 8 + 9 = 17, 20 + 1 = 21",
+        8: None,
+        9: "",
+    }
+    rows = [(k, f"{t} {PLAIN}" if k == 6 else t) for k, t in texts.items()] + [(1, texts[1])]
+    docs, asked = documents(rows), spark.createDataFrame(items, "item_id long, text string")
+    assert got(templates.leaks(docs, asked, inside=True), "doc_id", "item_id") == [(k, k) for k in range(1, 7)]
+    assert got(templates.without_leaks(docs, asked, inside=True), "doc_id") == [(7,), (8,), (9,)]
+
+
+def test_the_query_and_the_pipeline_look_inside(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "What is the capital of France?")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "He asked: what is the capital of France? Nobody knew the answer."), (2, PLAIN)], "doc_id long, text string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    assert got(templates.query(spark, folder), "doc_id", "item_id") == [(1, 1)]
+    assert got(corpus_pipeline.decontaminated(spark, docs, folder), "doc_id") == [(2,)]
+
+
 # Languages
 
 def test_language_edges(spark, documents):
