@@ -1,6 +1,8 @@
 """Licence scans by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences twice: at stops and line ends, and at stops and empty lines, so that wrapped sentences are whole. Sentences
+A text is cut into sentences twice: at stops and line ends, and at stops and empty lines, so that wrapped sentences are whole. For
+the second cut comment marks at either end of a line are taken away, so a line with nothing else is empty, and a line that begins
+like a copyright notice stands alone. Sentences
 are normalised (lower case, anything but ASCII letters and digits is one blank) and joined with the known licence sentences; the table of
 these is fixed. The identifiers found, in order, are matched against rules: a rule holds if its identifiers occur in its
 order, with others between them or not.
@@ -72,6 +74,10 @@ CONTAINS = {"BSD-3-Clause": ["BSD-2-Clause"]}
 LINES = r"[.!?]+[\s]+|[\r\n]+"
 STOPS = r"[.!?]+[\s]+|:[ \t]*[\r\n]+|[\r\n][ \t]*[\r\n]+"
 
+#: Comment marks around a line end, and the lines of copyright notices; texts are in lower case.
+MARKS = r"[ \t#*/;%!|<>-]*(?:\r\n|\r|\n)(?:[ \t#*/;%!|<>-]|(?:dnl|rem)(?=\s))*"
+NOTICE = r"(?:^|(?<=\n))[ \t#*/;%!|<>-]*(copyright[ \t]+(?:\(c\)|©|[0-9]{4})[^\n]*)"
+
 
 def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
@@ -86,7 +92,7 @@ def sentences(documents: DataFrame) -> DataFrame:
     """(row, doc_id, cut, place, sentence): the sentences of each row by either cut."""
     text = F.lower(F.coalesce("text", F.lit("")))
     docs = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
-    whole = F.when(F.col("text").contains("\n"), F.split("text", STOPS)).otherwise(F.expr("array()"))
+    whole = F.when(F.col("text").contains("\n"), F.split(F.regexp_replace(F.regexp_replace("text", MARKS, "\n"), NOTICE, "\n\n$1\n\n"), STOPS)).otherwise(F.expr("array()"))
     cuts = F.array(F.struct(F.lit(0).alias("cut"), F.split("text", LINES).alias("parts")), F.struct(F.lit(1).alias("cut"), whole.alias("parts")))
     rows = docs.select("row", "doc_id", F.explode(cuts).alias("c")).select("row", "doc_id", "c.cut", F.posexplode("c.parts").alias("place", "part"))
     return rows.select("row", "doc_id", "cut", "place", F.trim(F.regexp_replace("part", "[^a-z0-9]+", " ")).alias("sentence"))

@@ -192,6 +192,40 @@ def test_licences(documents):
     assert licences.scan(documents(rows).limit(0)).count() == 0
 
 
+def commented(paragraphs, mark, opening="", closing="", end="\n", blank=True):
+    lines = []
+    for k, p in enumerate(paragraphs):
+        words, line = p.split(), ""
+        lines += [""] if k and blank else []
+        for word in words:
+            if len(line) + len(word) > 60:
+                lines.append(line)
+                line = ""
+            line = f"{line} {word}".strip()
+        lines.append(line)
+    return opening + end.join(f"{mark} {x}".rstrip() for x in lines) + closing
+
+
+def test_commented_headers(documents):
+    known, title = licences.SENTENCES, "Copyright 2020 The Foo Authors"
+    texts = {
+        "Apache-2.0": [title, known["apache-header"], "You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0", known["apache-terms"] + " " + known["apache-see"]],
+        "MIT": ["Copyright (c) 2020 Foo", known["mit-grant"], known["mit-keep"], known["mit-warranty"] + " IN NO EVENT"],
+        "BSD-3-Clause": ["Copyright (c) 2020, Foo", known["bsd-grant"], "1. " + known["bsd-source"], "2. " + known["bsd-binary"], "3. " + known["bsd-names"]],
+    }
+    styles = [("#", "", ""), ("//", "", ""), (" *", "/*\n", "\n */"), ("--", "", ""), (";;", "", ""), ("dnl", "", ""), ("", "", "")]
+    rows, expected = [], []
+    for name, paragraphs in texts.items():
+        for k, (mark, opening, closing) in enumerate(styles):
+            for end in ("\n", "\r\n"):
+                rows.append((len(rows), f"#!/bin/sh{end}{commented(paragraphs, mark, opening, closing, end)}{end}{end}x = 1"))
+                expected.append((len(expected), name))
+    rows.append((len(rows), commented(texts["MIT"], "#", blank=False)))
+    found = {r["doc_id"]: r["licences"] for r in licences.scan(documents(rows)).collect()}
+    assert [(i, found.get(i)) for i, _ in expected] == expected
+    assert found[len(expected)] == "MIT"
+
+
 # Secrets
 
 CASES = [
