@@ -226,6 +226,32 @@ def test_commented_headers(documents):
     assert found[len(expected)] == "MIT"
 
 
+def test_more_licences(documents):
+    known = licences.SENTENCES
+    cases = [
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"),
+        ("# SPDX-License-Identifier: BSD-2-Clause\nx", "BSD-2-Clause"),
+        ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND Zlib */", "Apache-2.0,MIT,Zlib"),
+        ("// SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0\n", "GPL-2.0-or-later"),
+        ("// SPDX-License-Identifier: LGPL-2.1+ OR MPL-2.0+", "LGPL-2.1-or-later"),
+        ("// SPDX-License-Identifier: GPL-2.0", "GPL-2.0"),
+        (f"# {known['gpl2-later']}\n#\n# {known['gpl-warranty']}", "GPL-2.0-or-later"),
+        (known["lgpl21-later"], "LGPL-2.1-or-later"),
+        (known["agpl3-later"], "AGPL-3.0-or-later"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\n License, v. 2.0. If a copy of the MPL was not distributed with this\n file, You can obtain one at https://mozilla.org/MPL/2.0/.\n", "MPL-2.0"),
+        (known["isc-grant"], "ISC"),
+        (known["unlicense"], "Unlicense"),
+        (known["cc0-software"], "CC0-1.0"),
+        (known["epl2"], "EPL-2.0"),
+        ("   Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/\n", "Apache-2.0"),
+        ("  GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n", "GPL-2.0-only"),
+    ]
+    found = licences.scan(documents([(k, t) for k, (t, _) in enumerate(cases)])).collect()
+    assert sorted((r["doc_id"], r["licences"]) for r in found) == [(k, name) for k, (_, name) in enumerate(cases)]
+    own = licences.scan(documents([(1, "Ours alone."), (2, "SPDX-License-Identifier: MIT")]), {"own": "Ours alone."}, [("Own", ["own"])], {}, [])
+    assert got(own, "doc_id", "licences", "sentences") == [(1, "Own", "own")]
+
+
 # Secrets
 
 CASES = [
