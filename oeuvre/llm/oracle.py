@@ -86,8 +86,7 @@ FROM docs LEFT JOIN each USING (row)
 MIXING = rf"""
 WITH marks AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 docs AS (
-    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+'))::BIGINT AS size,
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
         CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS weight,
         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
     FROM documents LEFT JOIN marks USING (doc_id)
@@ -158,6 +157,107 @@ SELECT doc_id, coalesce(licences, '') AS licences, sentences
 FROM longest JOIN docs USING (row) LEFT JOIN names USING (row)
 """
 
+NEAREST = """
+WITH vectors AS (
+    SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+pairs AS (
+    SELECT a.row, a.vec_id AS query_id, b.vec_id, b.row AS other, list_inner_product(a.v, b.v) AS score
+    FROM vectors a JOIN vectors b ON a.row <> b.row AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST, other) AS rank FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+PHRASES = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (
+    SELECT lang, 1 AS k, unnest(w) AS phrase FROM split
+    UNION ALL SELECT lang, 2, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2])) FROM split WHERE len(w) > 1
+    UNION ALL SELECT lang, 3, unnest(list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda x: x[1] || ' ' || x[2] || ' ' || x[3]))
+    FROM split WHERE len(w) > 2
+),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY ALL),
+candidates AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+halves AS (
+    SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)
+),
+cuts AS (
+    SELECT c.lang, c.k, c.phrase, c.a, x.a AS l, y.a AS r, cut,
+        (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+    FROM halves c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+    SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS more
+    FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM candidates WHERE k = 3) GROUP BY ALL
+),
+kept AS (
+    SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE more IS NULL OR 100 * more < 50 * a
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+TRIE = r"""
+WITH RECURSIVE given AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+hashes AS (
+    SELECT conv_id, count(*) AS n, list_reduce(
+        list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))
+    ) AS crc FROM given GROUP BY conv_id
+),
+convs AS (SELECT conv_id, n, conv_id - conv_id % 20 AS base, xor(crc, 4294967295) % 4 AS h FROM hashes),
+lent AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS lent FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+turns AS (
+    SELECT conv_id, g.place AS pos, role, text FROM lent JOIN given g USING (conv_id) WHERE g.place >= h AND lent = h
+    UNION ALL SELECT conv_id, g.place - h + lent, role, text FROM lent JOIN given g USING (conv_id) WHERE g.place >= h AND lent < h
+    UNION ALL SELECT l.conv_id, g.place, role, text FROM lent l JOIN given g ON g.conv_id = l.base WHERE g.place < lent
+),
+firsts AS (
+    SELECT conv_id, pos + 1 AS depth, text, string_agg(length(role) || ':' || length(text) || ':' || role || text, '|')
+        OVER (PARTITION BY conv_id ORDER BY pos) AS id FROM turns
+),
+path AS (
+    SELECT conv_id, depth, text, sha256(id) AS id,
+        coalesce(sha256(lag(id) OVER (PARTITION BY conv_id ORDER BY depth)), 'root') AS parent,
+        depth = max(depth) OVER (PARTITION BY conv_id) AS ends
+    FROM firsts
+    UNION ALL SELECT conv_id, 0, '', 'root', NULL, conv_id NOT IN (SELECT conv_id FROM turns) FROM convs
+),
+nodes AS (
+    SELECT id, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        any_value(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS words,
+        string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends
+    FROM path GROUP BY id
+),
+children AS (SELECT parent AS id, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+up(id, top) AS (
+    SELECT id, id FROM nodes
+    UNION ALL SELECT up.id, nodes.parent FROM up JOIN nodes ON nodes.id = up.top WHERE nodes.parent IS NOT NULL
+),
+totals AS (
+    SELECT top AS id, sum((n_children IS NULL)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+    FROM up JOIN nodes USING (id) LEFT JOIN children USING (id) GROUP BY top
+)
+SELECT x.conv_id, x.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children,
+    n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM nodes x LEFT JOIN nodes p ON p.id = x.parent LEFT JOIN children c ON c.id = x.id JOIN totals t ON t.id = x.id
+"""
+
 SQL = {
     "op3_licence_scan": LICENCES,
     "op9_warc_round_trip": WARC,
@@ -165,4 +265,7 @@ SQL = {
     "op6_mix_sources": MIXING,
     "op8_ngram_jaccard_join": JACCARD,
     "op10_substring_dedup": SUBSTRING,
+    "op11_nearest_neighbours": NEAREST,
+    "op12_phrase_mining": PHRASES,
+    "op13_conversation_trie": TRIE,
 }

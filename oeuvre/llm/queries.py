@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oeuvre.llm import jaccard, language, licences, mixing, oracle, quality, secrets, substring, templates, vectors, warc
+from oeuvre.llm import jaccard, language, licences, mixing, nearest, oracle, phrases, quality, secrets, substring, templates, trie, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": jaccard.query,
         "op9_warc_round_trip": warc.query,
         "op10_substring_dedup": substring.query,
+        "op11_nearest_neighbours": nearest.query,
+        "op12_phrase_mining": phrases.query,
+        "op13_conversation_trie": trie.query,
     }
 
 

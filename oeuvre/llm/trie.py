@@ -152,9 +152,9 @@ def totals(tree: DataFrame, values: Sequence[str]) -> DataFrame:
         left = rest.where("kids IS NOT NULL").join(sums, "id", "left")
         live = staged(left.select("id", "parent", *[(F.col(v) + F.coalesce(f"g_{v}", F.lit(0))).alias(v) for v in values], *extra), "live")
 
-    known = None
+    known = tree.select("id", *values).limit(0)
     for chain, leaves in reversed(list(zip(logs, done, strict=True))):
-        known = leaves if known is None else known.unionByName(leaves)
+        known = known.unionByName(leaves)
         sizes = chain.groupBy(F.col("next").alias("id")).agg(F.count("*").alias("n_key"))
         ends = known.join(sizes, "id").select(F.col("id").alias("next"), "n_key", *[F.col(v).alias(f"t_{v}") for v in values])
         grown = lookup(chain, staged(ends, "ends"), "next", F.xxhash64("id"), chain.count())

@@ -29,7 +29,7 @@ def lines(names, rows):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
     assert "pipeline" in names
     assert set(queries.oracle_sql()) < set(queries.queries())
 
