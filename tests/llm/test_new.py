@@ -1,4 +1,4 @@
-"""Nearest neighbours, phrases and the conversation trie against plain versions; nulls, ties, repeats, empty tables."""
+"""Faults found by review. Nearest neighbours, phrases and the conversation trie against plain versions; nulls, ties, repeats, empty tables."""
 
 import hashlib
 import random
@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from oeuvre.llm import nearest, phrases, trie
+from oeuvre.llm import jaccard, language, licences, nearest, phrases, secrets, substring, trie, vectors
 
 VECTORS = "vec_id long, embedding array<float>, label int, row string, rid string, dim string"
 
@@ -159,3 +159,59 @@ def test_trie_without_turns(spark):
     found = trie.prefix_trie(conversations(spark, again))
     assert [r["n_convs"] for r in found.where("depth > 0").collect()] in ([2, 2, 2], [2] * 3)
     assert trie.prefix_trie(found.sparkSession.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def self_similar(n):
+    """Two words of 2 ** n letters that have equal sums of powers modulo 2 ** 64, for every odd base."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_self_similar_words_differ(documents):
+    one, two = self_similar(11)
+    common = " ".join(f"w{i}" for i in range(34))
+    docs = documents([(1, f"{common} {one}"), (2, f"{common} {two}")])
+    assert [r["n_removed"] for r in substring.remove_repeats(docs).collect()] == [0, 0]
+    docs = documents([(1, f"a b c d {one}"), (2, f"a b c d {two}")])
+    assert sorted(r["component_id"] for r in jaccard.classes(docs).collect()) == [1, 2]
+
+
+def test_many_licence_sentences(documents):
+    text = "".join(f"{s}\n" for s in list(licences.SENTENCES)[:3])
+    docs = documents([(1, text + "Released under the MIT License.\n" * 20000), (2, " " * 200_000 + "x\n" + "# " * 100_000), (3, None)])
+    found = {r["doc_id"]: r["licences"] for r in licences.scan(docs).collect()}
+    assert "MIT" in found[1].split(",") and set(found) == {1}
+
+
+def test_many_short_hex_runs(documents):
+    key = "0123456789abcdef01234567"
+    docs = documents([(1, "bad cafe 12 a " * 200_000 + key), (2, f"{key[:23]} AKIA{'A' * 15} AKIA{'B' * 16}")])
+    found = secrets.update(docs)
+    spans = sorted(r["spans"] for r in found.selectExpr("transform(spans, s -> array(s.kind, s.start, s.end)) AS spans").collect())
+    n = 14 * 200_000
+    assert spans == [[[1, 44, 64]], [[2, n, n + 24]]]
+
+
+def test_sample_of_repeated_rows(documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "trained", lambda rows, frequency: seen.append(len(rows)))
+    docs = documents([(1, "the same text", "en")] * 3000 + [(1, f"text {i}", "de") for i in range(500)])
+    language.fit(docs, sample=40)
+    assert seen[0] <= 100
+
+
+def test_exact_way_below_recall(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for i in range(0, 120, 2):
+        v = [rng.gauss(0, 1) for _ in range(8)]
+        rows += [(i, v, 0), (i + 1, [x + 0.01 for x in v], 0)]
+    rows += [(900, [1.0, 2.0], 0), (901, [2.0, 4.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    usual = sorted(tuple(r) for r in vectors.near_duplicates(df).collect())
+    monkeypatch.setattr(vectors, "recall", lambda *_: 0.1)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "found_links", lambda nodes, *_: nodes.sparkSession.createDataFrame([], "a long, b long"))
+    assert sorted(tuple(r) for r in vectors.near_duplicates(df).collect()) == usual
