@@ -8,7 +8,8 @@ these can be given. The identifiers found, in order, are matched against rules:
 order, with others between them or not. `SPDX-License-Identifier:` states each identifier of the SPDX list that stands in the
 expression after it, exceptions left out; a plus at its end is read as "or later".
 
-Null and empty texts have no sentence. Rows without a known sentence aren't returned. Rows that repeat give a result each. Other
+Texts of any length and any number of known sentences are matched in one pass. Of the two cuts of a text, `sentences` shows that with
+the longer list, the first if they tie. An empty table gives no rows. Null and empty texts have no sentence. Rows without a known sentence aren't returned. Rows that repeat give a result each. Other
 columns than doc_id and text are not looked at.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oeuvre.llm.spdx import IDENTIFIERS
@@ -137,7 +138,7 @@ LINES = r"[.!?]+[\s]+|[\r\n]+"
 STOPS = r"[.!?]+[\s]+|:[ \t]*[\r\n]+|[\r\n][ \t]*[\r\n]+"
 
 #: Comment marks around a line end, and the lines of copyright notices; texts are in lower case.
-MARKS = r"[ \t#*/;%!|<>-]*(?:\r\n|\r|\n)(?:[ \t#*/;%!|<>-]|(?:dnl|rem)(?=\s))*"
+MARKS = r"(?:\G|(?<![ \t#*/;%!|<>-]))[ \t#*/;%!|<>-]*+(?:\r\n|\r|\n)(?:[ \t#*/;%!|<>-]|(?:dnl|rem)(?=\s))*+"
 NOTICE = r"(?:^|(?<=\n))[ \t#*/;%!|<>-]*(copyright[ \t]+(?:\(c\)|©|[0-9]{4})[^\n]*)"
 
 SPDX = "spdx license identifier "
@@ -148,9 +149,11 @@ def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def rule_pattern(ids: list[str]) -> str:
-    """Matches a sequence ",id,id," in which these ids occur in order."""
-    return "," + ",(?:[a-z0-9-]+,)*".join(ids) + ","
+def occur(found: Column, ids: list[str]) -> Column:
+    """Whether these ids occur in this order in the array `found`; one pass over it, whatever its length."""
+    wanted = F.array(*map(F.lit, ids))
+    seen = F.aggregate(found, F.lit(0), lambda n, x: n + F.when(x == F.get(wanted, n), 1).otherwise(0))
+    return F.array_contains(found, ids[0]) & (seen == len(ids))
 
 
 def sentences(documents: DataFrame) -> DataFrame:
@@ -189,15 +192,16 @@ def scan(documents: DataFrame, texts: dict[str, str] | None = None, rules: list[
     known = spark.sql(f"SELECT sentence, id, CAST(stated AS STRING) AS stated FROM VALUES {values} AS known(sentence, id, stated)")
     found = sentences(documents).join(F.broadcast(known), "sentence")
     order = F.sort_array(F.collect_list(F.struct("place", "id")))
-    each = found.groupBy("row", "doc_id", "cut").agg(F.concat(F.lit(","), F.array_join(order["id"], ","), F.lit(",")).alias("ids"), F.collect_set("stated").alias("stated"))
-    by_rule = [F.when(F.col("ids").rlike(rule_pattern(ids)), F.lit(name)) for name, ids in rules]
+    each = found.groupBy("row", "doc_id", "cut").agg(order["id"].alias("ids"), F.collect_set("stated").alias("stated"))
+    by_rule = [F.when(occur(F.col("ids"), ids), F.lit(name)) for name, ids in rules]
     named = F.concat(F.array_compact(F.array(*by_rule, F.lit(None).cast("string"))), "stated")
-    names = F.flatten(F.collect_list(named))
+    names = F.flatten(F.collect_list("named"))
+    each = each.withColumn("named", named).withColumn("ids", F.array_join("ids", ","))
     rows = each.groupBy("row", "doc_id").agg(names.alias("names"), F.max_by("ids", F.struct(F.length("ids"), -F.col("cut"))).alias("ids"))
     licences = F.array_sort(F.array_distinct("names"))
     for longer, shorter in contains.items():
         licences = F.when(F.array_contains("names", longer), F.array_except(licences, F.array(*map(F.lit, shorter)))).otherwise(licences)
-    return rows.select("doc_id", F.array_join(licences, ",").alias("licences"), F.trim(F.col("ids"), F.lit(",")).alias("sentences"))
+    return rows.select("doc_id", F.array_join(licences, ",").alias("licences"), F.col("ids").alias("sentences"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -131,8 +131,14 @@ SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_d
 FROM docs LEFT JOIN first USING (b)
 """
 
+
+def rule_pattern(ids: list[str]) -> str:
+    """Matches a sequence ",id,id," in which these ids occur in order."""
+    return "," + ",(?:[a-z0-9-]+,)*".join(ids) + ","
+
+
 KNOWN = ", ".join(f"('{licences.normal(s)}', '{i}')" for i, s in licences.SENTENCES.items())
-RULES = ", ".join(f"('{name}', '{licences.rule_pattern(ids)}')" for name, ids in licences.RULES)
+RULES = ", ".join(f"('{name}', '{rule_pattern(ids)}')" for name, ids in licences.RULES)
 
 LICENCES = rf"""
 WITH known(sentence, id) AS (VALUES {KNOWN}),
