@@ -5,7 +5,8 @@ The ledger has a row for each blob and rule version that was scanned: blob, rule
 points, end exclusive). Only pairs that it lacks are scanned, once each, and findings are joined back to all paths.
 
 Null texts count as empty. An empty blob has no spans. Rows that repeat get equal results, also under one doc_id or a
-null one. Spans of a long text are found by one pass of each pattern and summed as rows, so any number of them works.
+null one. Spans of a long text are found by one pass of each pattern and summed as rows; words that are
+no finding, such as short hexadecimal runs, are never listed. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from oeuvre.llm.shared import lookup, packed, staged
 
 # Kind, pattern (leftmost matches that don't overlap), the group whose length counts, its least length.
+# Runs of `access` and `hex` are as long as they can be, so the patterns ask for the least length themselves.
 RULES = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"(AKIA[A-Z0-9]+)", 1, 20),
-    ("hex", r"([0-9a-f]+)", 1, 24),
+    ("access", r"(AKIA[A-Z0-9]{16,})", 1, 20),
+    ("hex", r"([0-9a-f]{24,})", 1, 24),
 ]
 
 # The same, but only such texts can have a finding; cheaper to test.
