@@ -222,11 +222,12 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model | None:
     frequency = vector_sum(mapped(known.select("text"), frequencies, "vector binary"), BUCKETS + 1)
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("part", F.lit(sample) / F.count("*").over(Window.partitionBy()) / F.col("n")).select("lang", "part")
-    at = F.xxhash64(F.lit("sample"), "doc_id")
+    at = F.xxhash64(F.lit("sample"), "doc_id", "text")
     chance = F.pmod(at, F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picks = known.select("doc_id", "lang").join(sizes, "lang").where(chance < F.col("part"))
+    picks = known.join(sizes, "lang").where(chance < F.col("part"))
     picks = staged(picks.select(at.alias("pick")).distinct(), "sample")  # about `sample` rows at most
-    some = known.withColumn("at", at).join(F.broadcast(picks), F.col("at") == F.col("pick"), "left_semi").select("lang", "at", "text")
+    some = known.withColumn("at", at).join(F.broadcast(picks), F.col("at") == F.col("pick"), "left_semi")
+    some = some.groupBy("at").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.lang", "at", "row.text")  # repeated rows once
     rows = mapped(some, counted, "lang string, at long, buckets array<int>, counts array<int>")
     return trained(rows.toArrow().to_pylist(), frequency)
 
