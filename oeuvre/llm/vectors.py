@@ -32,7 +32,7 @@ from oeuvre.llm.shared import lookup, mapped, on_workers, staged
 
 LEAST = 0.98
 
-OVERLAP = 3
+OVERLAP, MOST_OVERLAP = 3, 12
 SHARD = 500
 BLOCK = 2000
 CHUNK = 200
@@ -52,6 +52,9 @@ SLACK = 0.04
 AUDIT = 256
 RECALL = 0.95
 
+#: Below this recall with the largest overlap, all vectors of a label are compared.
+ENOUGH = 0.9
+
 
 def unit(values: np.ndarray) -> np.ndarray | None:
     """The vector at length 1 in double precision; none if it can't have a direction."""
@@ -261,7 +264,8 @@ def found_links(nodes: DataFrame, known, overlap: int) -> DataFrame:
 
 
 def recall(nodes: DataFrame, links: DataFrame, total: int) -> float:
-    """The share of the true links of about `AUDIT` nodes that were found; brute force against all nodes."""
+    """The share of its true links that was found, as a mean over those of about `AUDIT` nodes that have any; brute force
+    against all nodes."""
     chance = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     asked = nodes.where(chance < AUDIT / max(total, 1)).select("node", "label", "unit").toArrow().to_pylist()
     by: dict[tuple, list] = {}
@@ -281,9 +285,38 @@ def recall(nodes: DataFrame, links: DataFrame, total: int) -> float:
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     true = mapped(nodes.select("node", "label", "unit"), task, "a long, b long")
-    true = true.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    row = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).first()
-    return (row["hits"] or 0) / row["n"] if row["n"] else 1.0
+    true = true.select(F.col("b").alias("node"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hits = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("node").agg((F.count("hit") / F.count("*")).alias("share"))
+    mean = hits.agg(F.avg("share")).first()[0]
+    return 1.0 if mean is None else mean
+
+
+def compared(table: pa.Table) -> pa.Table:
+    """All links between the nodes of two blocks of a label, or within one; `side` is 0 for the first."""
+    first = table.column("side").to_numpy() == 0
+    one, two = table.filter(pa.array(first)), table.filter(pa.array(~first))
+    two = two if two.num_rows else one
+    if not one.num_rows:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    x, y = matrix(one.column("unit").to_pylist()), matrix(two.column("unit").to_pylist())
+    i, j = np.nonzero(x @ y.T >= LEAST - 1e-9)
+    exact = np.einsum("ij,ij->i", x[i], y[j]) >= LEAST
+    a, b = one.column("node").to_numpy()[i[exact]], two.column("node").to_numpy()[j[exact]]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def all_links(nodes: DataFrame) -> DataFrame:
+    """The links of blocks of each label (and length) with blocks of the same, in full: the exact way, should the graph miss links."""
+    size = F.octet_length("unit").alias("size")
+    counts = nodes.groupBy("label", size).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = nodes.select("node", "label", "unit", size).join(staged(counts, "sizes"), ["label", "size"])
+    own = own.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    own = own.select("label", "size", "node", "unit", "block", other)
+    keys = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side")]
+    parts = own.select("label", "size", *keys, "node", "unit")
+    return staged(parts.groupBy("label", "size", "low", "high").applyInArrow(compared, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(embeddings: DataFrame) -> DataFrame:
@@ -300,11 +333,13 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     known = spark.sparkContext.broadcast(centroids(nodes, total, most))
     overlap = OVERLAP
     links = found_links(nodes, known, overlap)
-    for _ in range(2):
-        if recall(nodes, links, total) >= RECALL:
-            break
+    share = recall(nodes, links, total)
+    while share < RECALL and overlap < MOST_OVERLAP:
         overlap *= 2
         links = found_links(nodes, known, overlap)
+        share = recall(nodes, links, total)
+    if share < ENOUGH:
+        links = all_links(nodes)
     both = links.union(links.select("b", "a"))
     sizes = nodes.select(F.col("node").alias("b"), "n_key")
     degrees = both.join(sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("n_key").alias("others"))
