@@ -407,15 +407,22 @@ FROM (SELECT year, SDG_label, n_frac_oa_papers / n_frac_papers AS x, P_top10 AS
 
 QUERIES["country_coverage"] = "SELECT round(count(country) / count(*)::DOUBLE, 6) AS country_share FROM seen"
 QUERIES["gap_coverage"] = """
-SELECT round(count(o.country_code) / count(*)::DOUBLE, 6) AS country_share
-FROM seen s LEFT JOIN second_source o USING (affiliationid) WHERE s.country IS NULL"""
+SELECT round(count(o.country) / count(*)::DOUBLE, 6) AS country_share
+FROM seen s LEFT JOIN (SELECT affiliationid, min(Alpha3) AS country FROM second_source GROUP BY ALL) o USING (affiliationid)
+WHERE s.country IS NULL"""
 QUERIES["agreement"] = """
 SELECT round(count(*) FILTER (WHERE country = Alpha3) / count(*)::DOUBLE, 6) AS correct_countries FROM both_known"""
 QUERIES["disagreements"] = "SELECT * FROM both_known WHERE country <> Alpha3"
 QUERIES["missing_country_ids"] = "SELECT affiliationid FROM seen WHERE country IS NULL"
 QUERIES["gap_file"] = """
-SELECT s.affiliationid, s.displayname, s.rank, o.Alpha3 AS country
-FROM seen s LEFT JOIN second_source o USING (affiliationid) WHERE s.country IS NULL"""
+SELECT s.affiliationid, s.displayname, s.rank, o.country
+FROM seen s LEFT JOIN (SELECT affiliationid, min(Alpha3) AS country FROM second_source GROUP BY ALL) o USING (affiliationid)
+WHERE s.country IS NULL"""
+QUERIES["author_row_positions"] = """
+SELECT paperid, authorid, affiliationid, authorsequencenumber,
+    row_number() OVER (ORDER BY authorsequencenumber DESC NULLS LAST, paperid NULLS LAST, authorid NULLS LAST, affiliationid NULLS LAST) - 1
+        AS position
+FROM authors"""
 QUERIES["backfill_country"] = "SELECT * FROM filled"
 QUERIES["import_institutions"] = """
 SELECT 'I' || event_id AS id,

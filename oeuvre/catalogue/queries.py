@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from oeuvre.catalogue.tables import Tables
 from oeuvre.functions import columns as fn
-from oeuvre.operators import authorship, coverage, enrich, gender, growth, open_access, prestige, quantiles, sample
+from oeuvre.operators import authorship, coverage, enrich, gender, growth, open_access, order, prestige, quantiles, sample
 from oeuvre.operators import relations as rel
 from oeuvre.operators import shares
 from oeuvre.operators.skew import split_join
@@ -544,6 +544,13 @@ def tab_rows(t):
     return lines.select(F.from_csv("line", F.lit(schema), files.TABS).alias("r")).select("r.*")
 
 
+@query
+def author_row_positions(t):
+    """All author rows with their position in report order."""
+    rows = t.authors.select("paperid", "authorid", "affiliationid", "authorsequencenumber")
+    return order.positions(rows, ["-authorsequencenumber", "paperid", "authorid", "affiliationid"])
+
+
 @query
 def null_tokens(t):
     """Affiliations written with NA for a missing country, read back as null."""

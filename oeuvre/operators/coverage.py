@@ -26,9 +26,14 @@ def missing_ids(authors: DataFrame, affiliations: DataFrame) -> DataFrame:
     return uncovered(ids, affiliations.select(AFFILIATION, "country"), AFFILIATION, "country").select(AFFILIATION)
 
 
+def one_country(source: DataFrame) -> DataFrame:
+    """The country (alpha-3) of each affiliation in a second source: the first in order of its codes, if it states several."""
+    return source.groupBy(AFFILIATION).agg(F.min("Alpha3").alias("country"))
+
+
 def gap_coverage(missing: DataFrame, source: DataFrame) -> DataFrame:
-    """Share of the missing affiliations that a second source knows."""
-    return coverage(left_join(missing, source, AFFILIATION, "match"), "country_code")
+    """Share of the missing affiliations whose country a second source can fill."""
+    return coverage(left_join(missing, one_country(source), AFFILIATION, "match"), "country")
 
 
 def compared(known: DataFrame, source: DataFrame) -> DataFrame:
@@ -48,5 +53,4 @@ def disagreements(known: DataFrame, source: DataFrame) -> DataFrame:
 def gap_file(known: DataFrame, source: DataFrame) -> DataFrame:
     """Affiliations without a country, with the country of the second source."""
     gaps = known.filter(F.col("country").isNull()).drop("country")
-    spare = source.select(AFFILIATION, F.col("Alpha3").alias("country"))
-    return left_join(gaps, spare, AFFILIATION, "match")
+    return left_join(gaps, one_country(source), AFFILIATION, "match")
