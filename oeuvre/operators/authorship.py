@@ -58,12 +58,13 @@ def fractional_weight(
     """Add one divided by the number of rows of the same author on the same paper.
 
     Rows are counted by paper to find heavy groups, as an author's rows on a paper
-    are never more than the paper's.
+    are never more than the paper's.  Rows without a paper form a group, which may be heavy.
     """
-    heavy = F.broadcast(heavy_groups(rows, paper, hot_rows))
+    heavy = F.broadcast(heavy_groups(rows, paper, hot_rows).select(F.col(paper).alias("_heavy")))
+    member = F.col(paper).eqNullSafe(F.col("_heavy"))
     size = F.count("*").over(Window.partitionBy(paper, author))
-    light = rows.join(heavy, paper, "left_anti").withColumn("_n", size)
-    rest = over_groups(rows.join(heavy, paper, "left_semi"), [paper, author], {"_n": F.count("*")}, hot_rows)
+    light = rows.join(heavy, member, "left_anti").withColumn("_n", size)
+    rest = over_groups(rows.join(heavy, member, "left_semi"), [paper, author], {"_n": F.count("*")}, hot_rows)
     counted = light.unionByName(rest)
     return counted.withColumn(name, ratio(F.lit(1), "_n")).drop("_n")
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from oeuvre.operators import coverage, order, relations
+from oeuvre.operators import authorship, coverage, order, relations
 
 from conftest import rows
 
@@ -31,3 +31,12 @@ def test_one_country_per_affiliation(spark):
     missing = seen.where("country IS NULL").select("affiliationid")
     assert rows(coverage.gap_coverage(missing, source)) == [(0.5,)]
     assert rows(relations.backfill(seen, gaps, "affiliationid", "country"), "affiliationid", "country") == [(1, "AUT"), (2, None), (3, "AUT")]
+
+
+def test_weights_of_a_heavy_group_without_a_paper(spark):
+    """Rows without a paper leave the window once they are many; the weights stay."""
+    given = [(None, i % 7) for i in range(70)] + [(1, 1), (1, 1), (1, 2), (None, None)]
+    df = spark.createDataFrame(given, "paperid long, authorid long")
+    whole = rows(authorship.fractional_weight(df))
+    assert rows(authorship.fractional_weight(df, hot_rows=5)) == whole
+    assert whole.count((None, 3, 0.1)) == 10 and whole.count((1, 1, 0.5)) == 2
