@@ -2,12 +2,14 @@
 
 Rows of the matrix are distinct shingle sets (copies are one row), columns are shingles. The product is not formed
 whole. Columns are ordered, rare ones first, by a sketch of all shingle counts. The first block of a row is so long that
-any linked pair overlaps in it; its product gives overlap counts, and pairs whose count can't reach the bound that
-their sizes set are dropped. The other columns are then counted for the pairs left, and the exact rule decides.
+any linked pair overlaps in it, and a column's place in it limits the sizes of the partners it can be a first common column with. The
+product of what is left gives overlap counts, and pairs whose count can't reach the bound that their sizes set are dropped.
+The other columns are then counted for the pairs left, and the exact rule decides.
 
 Groups of copies make no pairs of all with all. Each column first names a hub, the row that shares most; each row is compared with
-the hub it has most columns in common with, and linked rows become one component. After that only
-columns that still hold several components are multiplied, between different components. No link between components is lost.
+the hub it has most columns in common with, and linked rows become one group. After that only columns that still
+hold several groups are multiplied, between different groups. A row that meets a group by columns too late in its block for even
+the group's smallest row is not multiplied with it. No link between groups is lost.
 
 A text with fewer words than a shingle has one shingle, all its words. Null and empty texts have no shingle and link with
 nothing. Rows with equal text share a component, whether or not their doc_id repeats; a null doc_id is never the
@@ -38,10 +40,8 @@ ROWS = 500
 #: A column counted in more than this part of all documents is dealt out in `SALTS` parts.
 COMMON = 500
 SALTS = 64
-#: A part of the order of columns, a fifth of all that aren't common, that most first blocks reach beyond.
-PART = (1 << 58) // 5
-FAR = 127
-INFO = 28
+COMMON_BIT = 32
+PLACE = 31
 #: A row is compared with its first hub if they share at least this part of its first block.
 SHARED = 0.2
 
@@ -69,7 +69,7 @@ def profiles(size: int):
     """For each document its node (the name of its set; null without words) and size, then this task's sketch."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch = np.zeros(SKETCH, np.int32)
         for batch in batches:
             nodes, counts = [None] * batch.num_rows, np.zeros(batch.num_rows, np.int64)
             for i, values in shingles(batch, size):
@@ -88,11 +88,13 @@ def counters(columns: np.ndarray) -> np.ndarray:
     return (columns & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
-def ranks(counts: np.ndarray) -> np.ndarray:
-    """For each counter the rank of its columns, in the topmost bits: 0, or more the more often they are counted than usual."""
+def ranks(counts: np.ndarray, documents: int) -> np.ndarray:
+    """A byte for each counter: the rank of its columns (0, or more the more often they are counted than usual), and `COMMON_BIT`."""
     usual = 2 * counts.mean() + 8
-    rank = np.where(counts > usual, np.log2(np.maximum(counts, 1) / usual) + 1, 0)
-    return np.minimum(rank, 31).astype(np.uint64) << np.uint64(58)
+    rank = np.zeros(len(counts), np.uint8)
+    often = counts > usual
+    rank[often] = np.minimum(np.log2(counts[often] / usual) + 1, 31)
+    return rank | np.where(counts > counts.mean() + max(64, documents / COMMON), COMMON_BIT, 0).astype(np.uint8)
 
 
 def block(n, percent: int = PERCENT):
@@ -100,13 +102,12 @@ def block(n, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
-def first_columns(size: int, percent: int, counts, documents: int):
-    """Entries (h, salt, node, info): the first columns of each set of a batch. `info` has the size of the set and, above it,
-    the number of these columns below `PART` and how far towards it the block reaches (`FAR`: beyond)."""
+def first_columns(size: int, percent: int, known):
+    """Entries (h, salt, node, info): the first columns of each set of a batch. `info` has the size of the set and, below it, the
+    column's place in the set."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks(counts.value)
-        common = counts.value > counts.value.mean() + max(64, documents / COMMON)
+        kinds = known.value
         for batch in batches:
             seen, parts = set(), []
             for _, values in shingles(batch, size):
@@ -116,10 +117,9 @@ def first_columns(size: int, percent: int, counts, documents: int):
                 seen.add(node)
                 k = block(len(values), percent)
                 own = values >> np.uint64(6)
-                first = np.sort(own | rank[counters(own)])[:k]
-                reach = min(FAR, int(first[-1]) * FAR // PART)
-                info = reach << 2 * INFO | int(np.searchsorted(first, PART)) << INFO | len(values)
-                parts.append((first, np.where(common[counters(first)], 1 + (node & (SALTS - 1)), 0), node, info))
+                rank = (kinds[counters(own)] & np.uint8(COMMON_BIT - 1)).astype(np.uint64) << np.uint64(58)
+                first = np.sort(own | rank)[:k]
+                parts.append((first, np.where(kinds[counters(first)] & np.uint8(COMMON_BIT), 1 + (node & (SALTS - 1)), 0), node, len(values)))
                 if len(parts) == ROWS:
                     yield entries(parts)
                     parts = []
@@ -136,7 +136,7 @@ def entries(parts: list) -> pa.RecordBatch:
             "h": signed(np.concatenate([p[0] for p in parts])),
             "salt": pa.array(np.concatenate([p[1] for p in parts]).astype(np.int8)),
             "node": pa.array(np.repeat(np.array([p[2] for p in parts], np.int64), times)),
-            "info": pa.array(np.repeat(np.array([p[3] for p in parts], np.int64), times)),
+            "info": pa.array(np.concatenate([(p[3] << PLACE) + np.arange(k) for p, k in zip(parts, times, strict=True)])),
         }
     )
 
@@ -194,25 +194,42 @@ def with_hubs(own: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("a").agg(F.max(F.struct("k", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
-def across(own: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of different components whose first blocks overlap enough for their sizes.
+def least_overlap(a: str, b: str, percent: int):
+    """How many columns sets of these sizes have to share."""
+    return F.ceil(F.lit(percent) * (F.col(a).cast("long") + F.col(b)) / F.lit(100 + percent))
 
-    The row whose block ends first has no more columns left than its block leaves. And if both blocks reach beyond `PART`, all
-    common columns below it are counted, and no more can follow than either row has left from there.
+
+def product(own: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different groups whose first blocks overlap enough for their sizes.
+
+    The first common column of a linked pair has no more columns before it, in either set, than the pair may leave
+    unshared: only such columns name pairs. For these all columns of both first blocks are counted. The row whose block ends
+    first has no more columns left than its block leaves, and after the last common column neither has more than its set has left.
     """
-    mixed = own.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    mixed = staged(own.join(mixed, "h", "left_semi"), "entries")
-    left, right = (mixed.select("h", *[F.col(c).alias(f"{to}{side}") for c, to in (("node", ""), ("n", "n"), ("inner", "inner"), ("reach", "reach"), ("root", "r"))]) for side in "ab")
-    pairs = left.join(right.withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & can_link(percent))
-    sizes = [F.first(c).alias(c) for c in ("na", "nb", "innera", "innerb", "reacha", "reachb")]
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.sum((F.col("h") < PART).cast("long")).alias("k_inner"), *sizes)
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    after = {c: F.ceil(F.col(f"n{c}") * percent / 100) - 1 for c in "ab"}
-    left = F.least(*[F.col(f"n{c}") - F.col(f"inner{c}") for c in "ab"])
-    a, b = F.col("reacha"), F.col("reachb")
-    most = F.col("k") + F.when(a < b, after["a"]).when(a > b, after["b"]).otherwise(F.greatest(*after.values()))
-    most = F.least(most, F.when(F.least(a, b) == FAR, F.col("k_inner") + left))
-    return pairs.where(most >= need).select("a", "b")
+    need = least_overlap("na", "nb", percent)
+    early = can_link(percent) & (F.col("placea") <= F.col("na") - need) & (F.col("placeb") <= F.col("nb") - need)
+    fields = [("node", ""), ("n", "n"), ("place", "place"), ("root", "root")]
+    sides = {s: [F.col(c).alias(f"{to}{s}") for c, to in fields] for s in "ab"}
+    cells = own.groupBy("h", "root").agg(F.min("n").alias("least"), F.count("*").alias("many"))
+    cells = staged(cells, "cells")
+    mixed = cells.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    cells = staged(cells.join(mixed, "h", "left_semi"), "cells")
+    rows = staged(own.join(cells.drop("least"), ["h", "root"]), "entries")
+    single, group = rows.where("many = 1").drop("many"), rows.where("many > 1").drop("many")
+    pairs = single.select("h", *sides["a"]).join(single.select("h", *sides["b"]), "h").where((F.col("a") < F.col("b")) & early)
+    # Two groups meet once, a single row and a group by the row.
+    large = cells.where("many > 1").select("h", F.col("root").alias("rootb"), "least")
+    asked = rows.join(large, "h").where((F.col("root") != F.col("rootb")) & ((F.col("many") == 1) | (F.col("root") < F.col("rootb"))))
+    asked = asked.where(F.col("place") <= F.col("n") - least_overlap("n", "least", percent)).select("h", "rootb", *sides["a"][:3])
+    more = asked.join(group.select("h", *sides["b"]), ["h", "rootb"]).where(early)
+    found = pairs.select("a", "b").union(more.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    found = staged(found, "found")
+    both = own.select("h", *sides["a"][:3]).join(found, "a").join(own.select("h", *sides["b"][:3]), ["h", "b"])
+    last = [F.max(c).alias(c) for c in ("placea", "placeb")]
+    both = both.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"), *last)
+    after = F.greatest(*[F.ceil(F.col(n) * percent / 100) - 1 for n in ("na", "nb")])
+    left = F.least(F.col("na") - F.col("placea") - 1, F.col("nb") - F.col("placeb") - 1, after)
+    return both.where(F.col("k") + left >= need).select("a", "b")
 
 
 def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -223,19 +240,19 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
     seen = staged(mapped(docs, profiles(size), "row long, doc_id long, node long, n long, vector binary"), "profiles")
     rows = seen.where("vector IS NULL").drop("vector")
     total = rows.count()
-    counts = spark.sparkContext.broadcast(vector_sum(seen.where("vector IS NOT NULL"), SKETCH).astype(np.float32))
+    known = spark.sparkContext.broadcast(ranks(vector_sum(seen.where("vector IS NOT NULL"), SKETCH), total))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("n_key"))
     nodes = staged(nodes, "nodes")
 
-    entries = mapped(docs.select("text"), first_columns(size, percent, counts, total), "h long, salt byte, node long, info long")
+    entries = mapped(docs.select("text"), first_columns(size, percent, known), "h long, salt byte, node long, info long")
     column = Window.partitionBy("h", "salt")
     live = entries.withColumn("several", (F.min("node").over(column) != F.max("node").over(column)) | (F.col("salt") > 0))
-    live = staged(live.where("several").select("h", "node", F.col("info").bitwiseAND(F.lit((1 << INFO) - 1)).alias("n"), F.shiftright("info", INFO).bitwiseAND(F.lit((1 << INFO) - 1)).alias("inner"), F.shiftright("info", 2 * INFO).alias("reach")).distinct(), "live")
+    live = staged(live.where("several").select("h", "node", F.shiftright("info", PLACE).alias("n"), F.col("info").bitwiseAND(F.lit((1 << PLACE) - 1)).alias("place")).distinct(), "live")
     shared = live.groupBy("node").agg((F.count("*") / F.first("n")).alias("shared"))
     live = staged(live.join(shared, "node"), "live")
 
     links, found = None, None
-    for step in (with_hubs, across):
+    for step in (with_hubs, product):
         own = live.withColumn("root", F.col("node"))
         if found is not None:
             own = staged(live.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "entries")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 # The separators space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
@@ -51,12 +51,20 @@ def place_codes(n: int) -> np.ndarray:
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash of each run of bytes; the runs lie one after another in `values`."""
+    """A hash of each run of bytes; the runs lie one after another in `values`. About `PIECE` bytes are worked on at a time."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    place = np.arange(len(values)) - np.repeat(starts, lengths)
-    codes = CODES[values] * place_codes(int(lengths.max()))[place]
-    return mixed(np.add.reduceat(codes, starts))
+    out = np.empty(len(starts), np.uint64)
+    ends = starts + lengths
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + PIECE, "right")))
+        at, many = starts[first:last], lengths[first:last]
+        place = np.arange(at[0], ends[last - 1]) - np.repeat(at, many)
+        codes = CODES[values[at[0] : ends[last - 1]]] * place_codes(int(many.max()))[place]
+        out[first:last] = np.add.reduceat(codes, at - at[0])
+        first = last
+    return mixed(out)
 
 
 @dataclass
