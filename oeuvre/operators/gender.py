@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oeuvre.operators.authorship import AUTHOR, PAPER, SEQUENCE, role_rows
-from oeuvre.operators.relations import left_join
 from oeuvre.operators.shares import count_by, share_of_total
-from oeuvre.operators.skew import HOT_ROWS
+from oeuvre.operators.skew import HOT_ROWS, split_join
 
 
 def gender_share(
@@ -22,13 +21,15 @@ def gender_share(
 ) -> DataFrame:
     """Authorships of known gender by keys, with the share ``prop`` of each gender.
 
-    Authorships are counted by author before people are looked up, so an author
-    with very many of them is a few rows in that join.
+    The gender is looked up on the author rows themselves, before the papers come
+    in, where a heavy or null author stays in place.  What is counted then has a
+    row for each cell of the report only, not for each author in it.
     """
     if before is not None:
         papers = papers.filter(F.col("year") < before)
     labels = [k for k in keys if k != "author_position"]
-    rows = role_rows(papers.select(PAPER, *labels), authors.select(PAPER, AUTHOR, SEQUENCE), hot_rows)
-    cells = left_join(count_by(rows, AUTHOR, *keys), people, AUTHOR).filter(F.col("gender") != unknown)
-    counts = cells.groupBy(*keys, "gender").agg(F.sum("n").alias("n"))
+    known = people.filter(F.col("gender") != unknown).select(AUTHOR, "gender")
+    placed = split_join(authors.select(PAPER, AUTHOR, SEQUENCE), known, AUTHOR, "left", hot_rows).drop(AUTHOR)
+    rows = role_rows(papers.select(PAPER, *labels), placed, hot_rows, count=authors)
+    counts = count_by(rows.filter(F.col("gender").isNotNull()), *keys, "gender")
     return share_of_total(counts, "n", keys, name="prop")

@@ -141,3 +141,31 @@ def test_lookup_join_of_different_key_types(spark, hot_rows, left, right):
     found = lookup_join(df, lookup, "k", hot_rows=hot_rows)
     wanted = df.alias("a").join(lookup.alias("b"), F.expr("a.k = b.k"), "left").selectExpr("a.id", "b.v")
     assert rows(found, "id", "v") == rows(wanted) and found.filter("v IS NOT NULL").count() == 30
+
+
+def test_gender_aggregates_hold_no_row_for_each_author(spark):
+    papers = spark.createDataFrame([(1, 2000, "a"), (2, 2000, "b"), (3, 2000, "b")], "paperid long, year int, SDG_label string")
+    authors = [(1, 10, 1), (1, 11, 2), (1, None, 3), (2, 10, 1), (2, 12, 2), (4, 10, 1)]
+    authors = spark.createDataFrame(authors, "paperid long, authorid long, authorsequencenumber int")
+    people = [(10, "female"), (11, "male"), (11, "female"), (12, "unknown"), (None, "male")]
+    people = spark.createDataFrame(people, "authorid long, gender string")
+    keys = ["SDG_label", "year", "author_position"]
+    for k, expected in (
+        (keys[:2], [("a", 2000, "female", 2, 2 / 3), ("a", 2000, "male", 1, 1 / 3), ("b", 2000, "female", 1, 1.0)]),
+        (
+            keys,
+            [
+                ("a", 2000, "first_author", "female", 1, 1.0),
+                ("a", 2000, "middle_author", "female", 1, 0.5),
+                ("a", 2000, "middle_author", "male", 1, 0.5),
+                ("b", 2000, "first_author", "female", 1, 1.0),
+            ],
+        ),
+    ):
+        found = gender.gender_share(papers, authors, people, *k)
+        got = sorted(tuple(r) for r in found.collect())
+        assert [r[:-1] for r in got] == [r[:-1] for r in expected]
+        assert all(abs(r[-1] - e[-1]) < 1e-9 for r, e in zip(got, expected, strict=True))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        grouped = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+        assert grouped and not [g for g in grouped if "authorid" in g and "SDG_label" in g]
