@@ -44,6 +44,8 @@ COMMON_BIT = 32
 PLACE = 31
 #: A row is compared with its first hub if they share at least this part of its first block.
 SHARED = 0.2
+#: How many common columns early in both blocks a pair has to have, where the sizes of its sets promise as many.
+EARLY = 8
 
 
 def shingles(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -199,16 +201,27 @@ def least_overlap(a: str, b: str, percent: int):
     return F.ceil(F.lit(percent) * (F.col(a).cast("long") + F.col(b)) / F.lit(100 + percent))
 
 
+def many_early(a: str, b: str, percent: int):
+    """How many of the first common columns of a linked pair of these sizes surely lie in both first blocks; `EARLY` at most."""
+    longer = F.ceil(F.lit(percent) * F.greatest(a, b).cast("long") / F.lit(100))
+    return F.least(F.lit(EARLY), least_overlap(a, b, percent) - longer + 1)
+
+
 def product(own: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of different groups whose first blocks overlap enough for their sizes.
 
-    The first common column of a linked pair has no more columns before it, in either set, than the pair may leave
-    unshared: only such columns name pairs. For these all columns of both first blocks are counted. The row whose block ends
-    first has no more columns left than its block leaves, and after the last common column neither has more than its set has left.
+    The k-th common column of a linked pair has at most k - 1 columns more before it, in either set, than the pair may leave
+    unshared, so the first `many_early` ones lie in both blocks below a limit: only columns below it name pairs, and of rows that are
+    alone, without a group, only pairs with that many of them are looked at. A column that two texts have by chance is not enough.
+    Pairs with a row of a group need one, the first. For the pairs named all columns of both first blocks are counted. The row whose block ends first has no more columns left than its block leaves, and after the
+    last common column neither has more than its set has left.
     """
     need = least_overlap("na", "nb", percent)
-    early = can_link(percent) & (F.col("placea") <= F.col("na") - need) & (F.col("placeb") <= F.col("nb") - need)
-    fields = [("node", ""), ("n", "n"), ("place", "place"), ("root", "root")]
+    promised = F.when(F.col("alonea") & F.col("aloneb"), many_early("na", "nb", percent)).otherwise(1)
+    def early(many):
+        return can_link(percent) & (F.col("placea") < F.col("na") - need + many) & (F.col("placeb") < F.col("nb") - need + many)
+
+    fields = [("node", ""), ("n", "n"), ("place", "place"), ("alone", "alone")]
     sides = {s: [F.col(c).alias(f"{to}{s}") for c, to in fields] for s in "ab"}
     cells = own.groupBy("h", "root").agg(F.min("n").alias("least"), F.count("*").alias("many"))
     cells = staged(cells, "cells")
@@ -216,20 +229,27 @@ def product(own: DataFrame, percent: int) -> DataFrame:
     cells = staged(cells.join(mixed, "h", "left_semi"), "cells")
     rows = staged(own.join(cells.drop("least"), ["h", "root"]), "entries")
     single, group = rows.where("many = 1").drop("many"), rows.where("many > 1").drop("many")
-    pairs = single.select("h", *sides["a"]).join(single.select("h", *sides["b"]), "h").where((F.col("a") < F.col("b")) & early)
+    pairs = single.select("h", *sides["a"]).join(single.select("h", *sides["b"]), "h").where((F.col("a") < F.col("b")) & early(promised))
     # Two groups meet once, a single row and a group by the row.
     large = cells.where("many > 1").select("h", F.col("root").alias("rootb"), "least")
     asked = rows.join(large, "h").where((F.col("root") != F.col("rootb")) & ((F.col("many") == 1) | (F.col("root") < F.col("rootb"))))
     asked = asked.where(F.col("place") <= F.col("n") - least_overlap("n", "least", percent)).select("h", "rootb", *sides["a"][:3])
-    more = asked.join(group.select("h", *sides["b"]), ["h", "rootb"]).where(early)
-    found = pairs.select("a", "b").union(more.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
-    found = staged(found, "found")
-    both = own.select("h", *sides["a"][:3]).join(found, "a").join(own.select("h", *sides["b"][:3]), ["h", "b"])
-    last = [F.max(c).alias(c) for c in ("placea", "placeb")]
-    both = both.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"), *last)
+    more = asked.join(group.select("h", F.col("root").alias("rootb"), *sides["b"][:3]), ["h", "rootb"]).where(early(F.lit(1)))
+    more = more.select(F.least("a", "b"), F.greatest("a", "b"), F.lit(1)).distinct()
+    met = pairs.select("a", "b", promised.alias("promised")).union(more).groupBy("a", "b").agg(F.count("*").alias("met"), F.first("promised").alias("promised"))
+    found = staged(met.where("met >= promised").select("a", "b"), "found")
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    blocks = own.join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "h"))).alias("block"))
+    blocks, both = staged(blocks, "blocks"), found
+    for side in "ab":
+        own_block = [F.col("n").alias(f"n{side}"), F.col("block.h").alias(f"h{side}"), F.col("block.place").alias(f"places{side}")]
+        both = both.join(blocks.select(F.col("node").alias(side), *own_block), side)
+    # Blocks have one order, so the last common column is the same one for both.
+    both = both.withColumn("common", F.array_intersect("ha", "hb")).withColumn("last", F.element_at("common", -1))
+    placea, placeb = (F.element_at(f"places{s}", F.array_position(f"h{s}", F.col("last")).cast("int")) for s in "ab")
     after = F.greatest(*[F.ceil(F.col(n) * percent / 100) - 1 for n in ("na", "nb")])
-    left = F.least(F.col("na") - F.col("placea") - 1, F.col("nb") - F.col("placeb") - 1, after)
-    return both.where(F.col("k") + left >= need).select("a", "b")
+    left = F.least(F.col("na") - placea - 1, F.col("nb") - placeb - 1, after)
+    return both.where(F.size("common") + left >= need).select("a", "b")
 
 
 def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -253,9 +273,9 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
 
     links, found = None, None
     for step in (with_hubs, product):
-        own = live.withColumn("root", F.col("node"))
+        own = live.withColumn("root", F.col("node")).withColumn("alone", F.lit(True))
         if found is not None:
-            own = staged(live.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "entries")
+            own = staged(live.join(found, "node", "left").withColumn("alone", F.col("root").isNull()).withColumn("root", F.coalesce("root", "node")), "entries")
         pairs = staged(step(own, percent), "pairs")
         if not pairs.isEmpty():
             ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

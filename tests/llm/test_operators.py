@@ -574,3 +574,21 @@ def test_substrings(documents, seed):
     out = substring.remove_repeats(documents(rows))
     assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256", "kept") == plain_removal(rows, 35)
     assert substring.remove_repeats(documents(rows).limit(0)).count() == 0
+
+
+def test_a_column_shared_by_chance_is_no_candidate(spark, monkeypatch):
+    """Sets of 100: 1 and 2 share one early column, 3 and 4 share all of their first blocks but the first column."""
+    rows = [(7, node, 100, 0, node, True) for node in (1, 2)]
+    rows += [(100 + k, node, 100, k, node, True) for node in (3, 4) for k in range(1, 26)]
+    own = spark.createDataFrame(rows, "h long, node long, n long, place long, root long, alone boolean")
+    looked_at, staged = [], jaccard.staged
+
+    def kept(df, what="stage"):
+        out = staged(df, what)
+        if what == "found":
+            looked_at.extend(tuple(r) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", kept)
+    assert [tuple(r) for r in jaccard.product(own, 75).collect()] == [(3, 4)]
+    assert looked_at == [(3, 4)]
