@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from oeuvre.llm import words as w
 from oeuvre.llm.graph import components
-from oeuvre.llm.shared import bit_map, in_map, lookup, mapped, packed, signed, staged, vector_row, vector_sum
+from oeuvre.llm.shared import BATCH, bit_map, in_map, lookup, mapped, packed, signed, staged, vector_row, vector_sum
 
 SIZE = 5
 PERCENT = 75
@@ -165,7 +165,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) ->
     rows = staged(nodes.join(wanted, "node", "left_semi").select("node", "row"), "wanted")
     known = docs.sparkSession.sparkContext.broadcast(bit_map(rows.select(F.col("row").alias("h")), rows.count()))
     found = mapped(docs.select("row", "text"), wanted_sets(size, known), "row long, node long, columns array<long>")
-    return staged(found.join(rows, ["row", "node"], "left_semi").dropDuplicates(["node"]).select("node", "columns"), "sets")
+    return staged(found.join(rows, ["row", "node"], "left_semi").dropDuplicates(["node"]).select("node", "columns"), "sets", BATCH)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,7 +257,7 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    seen = staged(mapped(docs, profiles(size), "row long, doc_id long, node long, n long, vector binary"), "profiles")
+    seen = staged(mapped(docs, profiles(size), "row long, doc_id long, node long, n long, vector binary"), "profiles", BATCH)
     rows = seen.where("vector IS NULL").drop("vector")
     total = rows.count()
     known = spark.sparkContext.broadcast(ranks(vector_sum(seen.where("vector IS NOT NULL"), SKETCH), total))
@@ -267,7 +267,7 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
     entries = mapped(docs.select("text"), first_columns(size, percent, known), "h long, salt byte, node long, info long")
     column = Window.partitionBy("h", "salt")
     live = entries.withColumn("several", (F.min("node").over(column) != F.max("node").over(column)) | (F.col("salt") > 0))
-    live = staged(live.where("several").select("h", "node", F.shiftright("info", PLACE).alias("n"), F.col("info").bitwiseAND(F.lit((1 << PLACE) - 1)).alias("place")).distinct(), "live")
+    live = staged(live.where("several").select("h", "node", F.shiftright("info", PLACE).alias("n"), F.col("info").bitwiseAND(F.lit((1 << PLACE) - 1)).alias("place")).distinct(), "live", BATCH)
     shared = live.groupBy("node").agg((F.count("*") / F.first("n")).alias("shared"))
     live = staged(live.join(shared, "node"), "live")
 

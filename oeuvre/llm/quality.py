@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oeuvre.llm import words as w
-from oeuvre.llm.shared import mapped, staged
+from oeuvre.llm.shared import BATCH, mapped, staged
 
 ACCEPT = 0.7
 
@@ -208,7 +208,8 @@ def classify(documents: DataFrame, labels: DataFrame, modulus: int = 4, held: in
 def accepted(documents: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
     """The documents with a score of `ACCEPT` or more, by a model of their labels."""
     stats = stats_of(documents.where(~F.coalesce(remainder(modulus) == held, F.lit(False))))
-    model = fit(stats, labels)
+    # Written first: else a task measures and sums at once, with two Python workers that the executor keeps.
+    model = fit(staged(stats, "statistics", BATCH), labels)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

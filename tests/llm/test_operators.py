@@ -592,3 +592,37 @@ def test_a_column_shared_by_chance_is_no_candidate(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "staged", kept)
     assert [tuple(r) for r in jaccard.product(own, 75).collect()] == [(3, 4)]
     assert looked_at == [(3, 4)]
+
+
+def test_quality_sums_statistics_that_are_written(spark, documents, monkeypatch, capsys):
+    """A task that measures and sums at once has two Python workers, and the executor keeps both."""
+    docs = documents([(k, "good words here. " * (1 + k % 7) if k % 2 else "#" * k) for k in range(40)])
+    marks = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    fit, plans = quality.fit, []
+
+    def looked_at(stats, labels):
+        stats.explain()
+        plans.append(capsys.readouterr().out)
+        return fit(stats, labels)
+
+    monkeypatch.setattr(quality, "fit", looked_at)
+    quality.accepted(docs, marks)
+    assert len(plans) == 1 and "FileScan parquet" in plans[0] and "InArrow" not in plans[0]
+
+
+def test_jaccard_batches_follow_bytes_not_rows(spark, documents, monkeypatch):
+    docs = documents([(k, " ".join(f"{k}-{i}-" + "x" * 200 for i in range(100))) for k in range(600)]).coalesce(1)
+    mapped, key = jaccard.mapped, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def checked(df, task, schema):
+        def small(batch):
+            if batch.nbytes > 6 << 20:
+                raise ValueError(f"a batch of {batch.nbytes} bytes")
+            return batch
+
+        return mapped(df, lambda batches: task(small(b) for b in batches), schema)
+
+    monkeypatch.setattr(jaccard, "mapped", checked)
+    before = spark.conf.get(key)
+    assert jaccard.classes(docs).agg(F.countDistinct("component_id"), F.sum("n_shingles")).first() == (600, 600 * 96)
+    assert spark.conf.get(key) == before
