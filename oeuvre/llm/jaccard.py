@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from oeuvre.llm import words as w
 from oeuvre.llm.graph import components
-from oeuvre.llm.shared import BATCH, bit_map, in_map, lookup, mapped, packed, signed, staged, vector_row, vector_sum
+from oeuvre.llm.shared import BATCH, bit_map, in_map, lookup, mapped, on_workers, packed, signed, staged, vector_row, vector_sum
 
 SIZE = 5
 PERCENT = 75
@@ -296,14 +296,32 @@ def classes(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> D
 def one_of_each(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The documents whose doc_id is that of their component, one of each. Of equal rows one stays; rows of different texts that
     share that doc_id all stay, as do those of a component without a doc_id."""
-    found = staged(classes(documents, size, percent), "classes")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("_times"))
-    stay = staged(stay, "stay")
-    out = packed(documents, _row=F.xxhash64("doc_id", "text")).join(stay, "_row")
-    once, more = out.where("_times = 1"), out.where("_times > 1").dropDuplicates(["_row"])
-    out = once if stay.where("_times > 1").isEmpty() else once.unionByName(more)
+    found = staged(classes(documents, size, percent), "classes").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = staged(found.where("stays").groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("_times")), "stay")
+    asked = found.where("not stays").select(F.col("row").alias("h")).union(stay.where("_times > 1").select("_row"))
+    maps = [bit_map(rows, rows.count()) for rows in (asked, stay.select(F.col("_row").alias("h")))]
+    docs = packed(documents, _row=F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("_unsure", unsure(documents.sparkSession, maps)("_row"))
+    out = docs.where("_unsure = 1").join(stay, "_row")
+    once, more = out.where("_times = 1").select("doc"), out.where("_times > 1").dropDuplicates(["_row"]).select("doc")
+    out = docs.where("_unsure = 0").select("doc").union(once)
+    out = out if stay.where("_times > 1").isEmpty() else out.union(more)
     return out.select("doc.*")
 
 
+def unsure(spark, maps: list[np.ndarray]):
+    """0 for a row that surely stays once, null for one that surely goes, 1 for the few that `stay` has to be asked about. Only they
+    are shuffled with their texts. `maps`: rows that go or come several times, and rows that stay."""
+    on_workers(spark)
+    known = spark.sparkContext.broadcast(maps)
+
+    @F.arrow_udf("int")
+    def place(row: pa.Array) -> pa.Array:
+        asked, stay = (in_map(bits, row.to_numpy(zero_copy_only=False).view(np.uint64)) for bits in known.value)
+        return pa.array(asked.astype(np.int32), mask=asked & ~stay)
+
+    return place
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")

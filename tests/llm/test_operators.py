@@ -626,3 +626,14 @@ def test_jaccard_batches_follow_bytes_not_rows(spark, documents, monkeypatch):
     before = spark.conf.get(key)
     assert jaccard.classes(docs).agg(F.countDistinct("component_id"), F.sum("n_shingles")).first() == (600, 600 * 96)
     assert spark.conf.get(key) == before
+
+
+def test_one_of_each_shuffles_only_texts_in_doubt(spark, documents, capsys):
+    texts = [" ".join(f"{k}-{i}" for i in range(40)) for k in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[k] + " more") for k in range(60)] + [(7, texts[7]), (None, texts[9]), (2000, None), (2000, None), (None, None)]
+    kept = jaccard.one_of_each(documents(rows))
+    expected = [(k,) for k in range(300)] + [(2000,), (None,)]
+    assert got(kept, "doc_id") == sorted(expected, key=repr)
+    kept.explain()
+    plan = capsys.readouterr().out
+    assert "Union" in plan and "Exchange" not in plan[plan.index("Union") :].split("\n   :- ")[1].split("\n   +- ")[0].split("\n   :- ")[0]
